@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Documents that a bucket should hold.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: F.Column) -> F.Column:
