@@ -179,3 +179,21 @@ def words_of(found: list[bytes], plain: np.ndarray = LOWER, space: np.ndarray =
 def crc_share(column: str, modulus: int) -> F.Column:
     """crc32 of the integer's decimal text, modulo ``modulus``: the folds of the learning operators."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
+    """At most n - 1 rising values that cut the column into n ranges of about equal counts.
+
+    Reads that column only. Nulls are left out; they belong to the first range.
+    """
+    at = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(column, at, 20 * n)).head()[0] if at else None
+    return sorted(set(found or []))
+
+
+def range_of(values: pa.Array, bounds: list[int]) -> np.ndarray:
+    """The range of each value, nulls in range 0; a value equal to a bound goes right of it."""
+    v = values.to_numpy(zero_copy_only=False)
+    if v.dtype.kind == "f":  # with nulls
+        return np.where(np.isnan(v), 0, np.searchsorted(bounds, np.nan_to_num(v), side="right")).astype(np.int32)
+    return np.searchsorted(bounds, v, side="right").astype(np.int32)

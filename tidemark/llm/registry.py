@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, wavelet
 
-QUERIES: dict = {"op7_mix_sources": mixing.op7_mix_sources}
+QUERIES: dict = {
+    "op2_pack": packing.op2_pack,
+    "op6_token_files": wavelet.op6_token_files,
+    "op7_mix_sources": mixing.op7_mix_sources,
+}
 ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}
