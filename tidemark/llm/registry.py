@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, wavelet
+from . import lzprint, mixing, packing, simhash, wavelet
 
 QUERIES: dict = {
     "op2_pack": packing.op2_pack,
+    "op3_lz_fingerprints": lzprint.op3_lz_fingerprints,
+    "op4_simhash": simhash.op4_simhash,
     "op6_token_files": wavelet.op6_token_files,
     "op7_mix_sources": mixing.op7_mix_sources,
 }
