@@ -8,7 +8,7 @@ import pytest
 from tidemark.llm import packing, wavelet
 from tidemark.llm.tokens import Encoder, default_path
 
-HARD = ["", " ", "a", "  a  b ", "a\n b", "a\n\nb  c", "don't stop's", " x", "x ", "　a", "a\xa0 b", "a\x85 b", "tab\tx \t y", "x<|endoftext|> y", "é ü  z", "日本 語", "1 2,3 \r\n", "long " * 5000]
+HARD = ["dogs' x", "éa… b!", "x_ y_- (z) a’s", "9.9, a9!", "", " ", "a", "  a  b ", "a\n b", "a\n\nb  c", "don't stop's", " x", "x ", "　a", "a\xa0 b", "a\x85 b", "tab\tx \t y", "x<|endoftext|> y", "é ü  z", "日本 語", "1 2,3 \r\n", "long " * 5000]
 
 
 @pytest.fixture(scope="module")

@@ -4,21 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
 PAIR = re.compile(r"\s\s")
 BLANK = re.compile(r"\s")
-#: ASCII pairs that rule a text out at once; texts with other white space get the full search.
-COMMON = ("  ", "\n\n", " \n", "\n ")
-
-
-def paired(text: str) -> bool:
-    """Has the text two white-space characters in a row?"""
-    if any(x in text for x in COMMON):
-        return True
-    # Without tabs, returns and the like, only non-ASCII white space can still make a pair.
-    return len(text.split()) != text.count(" ") + text.count("\n") + 1 and PAIR.search(text) is not None
 
 
 def default_path() -> str:
@@ -31,9 +22,10 @@ class Encoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     A byte-level BPE with the usual word pattern never joins what lies on both sides of
-    a single space between two other characters, the space going with what follows it.
-    So a text without two white-space characters in a row falls into its space-separated
-    pieces, most of which were seen before. Other texts go to the tokenizer whole. The
+    a single space between two other characters, the space going with what follows it; nor
+    a letter and punctuation after it. So a text without two white-space characters in a
+    row falls into its space-separated pieces, and a piece into its word and its trailing
+    punctuation; most of these were seen before. Other texts go to the tokenizer whole. The
     cache is emptied when it holds ``most`` pieces, which bounds its memory.
     """
 
@@ -44,21 +36,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.most = most
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # None marks a piece that its neighbours may change.
+        self.first: dict[str, bytes | None] = {}
+        self.later: dict[str, bytes | None] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], lead: str, wanted: set[str]) -> None:
-        """Encode the pieces not seen before, 200 at a time as lines of one text: a line end before
-        a space is a token by itself."""
-        new = list(wanted - known.keys())
-        odd = [x for x in new if not x or BLANK.search(x)] if lead and len(self.line) == 1 else new
-        known.update(zip(odd, self._plain([lead + x for x in odd]), strict=True))
-        if len(odd) == len(new):
-            return
-        new = list(wanted - known.keys())
+    def _lines(self, known: dict[str, bytes | None], lead: str, new: list[str]) -> None:
+        """Encode pieces without white space, 200 at a time as lines of one text: a line end before a space is a token by itself."""
         groups = [new[i : i + 200] for i in range(0, len(new), 200)]
         for at in range(0, len(groups), 50):
             some = groups[at : at + 50]
@@ -71,26 +58,64 @@ class Encoder:
                 starts, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(found)]
                 known.update((w, found[a:b]) for w, a, b in zip(words, starts, ends, strict=True))
 
+    def _learn(self, known: dict[str, bytes | None], lead: str, wanted: set[str]) -> None:
+        new = [w for w in wanted if w not in known]
+        odd, cores, made = [], set(), []
+        for w in new:
+            core = w.rstrip(string.punctuation)
+            if len(core) < len(w) and core and core[-1].isalpha() and core[-1] < "\u2000" and not any(x in w for x in self.special):
+                made.append((w, core, w[len(core) :]))
+                cores.add(core)
+            else:
+                cores.add(w)
+        plain = []
+        for w in cores:
+            if w in known:
+                continue
+            if BLANK.search(w):
+                if w[0].isspace() or w[-1].isspace() or PAIR.search(w):
+                    known[w] = None
+                else:
+                    odd.append(w)
+            elif w:
+                plain.append(w)
+            else:
+                known[w] = None
+        if not lead or len(self.line) != 1:
+            odd, plain = odd + plain, []
+        known.update(zip(odd, self._plain([lead + x for x in odd]), strict=True))
+        self._lines(known, lead, plain)
+        if made:
+            ends = [x for x in {tail for _, _, tail in made} if x not in self.first]
+            self.first.update(zip(ends, self._plain(ends), strict=True))
+            for w, core, tail in made:
+                head = known[core]
+                known[w] = None if head is None else head + self.first[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.first) + len(self.later) > self.most:
             self.first.clear()
             self.later.clear()
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, x in enumerate(texts) if paired(x)]
-        for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        odd = set(whole)
-        split = [(i, x.split(" ")) for i, x in enumerate(texts) if x and i not in odd]
-        heads: set[str] = {w[0] for _, w in split}
+        split = [x.split(" ") for x in texts]
+        heads: set[str] = {w[0] for w in split}
         tails: set[str] = set()
-        for _, w in split:
+        for w in split:
             tails.update(w[1:])
         self._learn(self.first, "", heads)
         self._learn(self.later, " ", tails)
         later = self.later.__getitem__
-        for i, w in split:
-            out[i] = self.first[w[0]] + b"".join(map(later, w[1:]))
+        out: list[bytes] = []
+        whole = []
+        for i, w in enumerate(split):
+            try:
+                out.append(b"".join([self.first[w[0]], *map(later, w[1:])]))
+            except TypeError:
+                out.append(b"")
+                if texts[i]:
+                    whole.append(i)
+        for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         return out
 
 
