@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm, lzprint, mixing, packing, quality, simhash, toxicity, wavelet
+from . import ann, lm, lzprint, mixing, packing, quality, simhash, toxicity, wavelet
 
 QUERIES: dict = {
     "op2_pack": packing.op2_pack,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_files": wavelet.op6_token_files,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_nearest": ann.op8_nearest,
     "op9_lm_scores": lm.op9_lm_scores,
     "op10_quality": quality.op10_quality,
 }
