@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from tidemark.llm import lm
+from tidemark.llm.blocks import squeeze, stretch
 
 
 def tokens(text):
@@ -64,6 +65,7 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 700)
     df = spark.createDataFrame([(i, x, True, 1) for i, x in rows], "doc_id long, text string, train boolean, block int").repartition(3)
     same(lm.score_texts(df).collect(), brute(rows))
+    same(lm.score_texts(df.unionByName(df)).collect(), brute(rows * 2))
 
 
 def test_held_out_beats_base(spark):
@@ -91,4 +93,4 @@ def test_edge_tables(spark):
 
 @pytest.mark.parametrize("a", [[], [0], [5, 0, 2**63, 255, 256]])
 def test_squeeze_round_trip(a):
-    assert lm.stretch(lm.squeeze(np.array(a, np.uint64))).tolist() == a
+    assert stretch(squeeze(np.array(a, np.uint64))).tolist() == a

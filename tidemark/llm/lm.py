@@ -13,13 +13,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
+from .blocks import SENT_DDL, Namer, bucket_cuts, frame, ranked, rows, runs, squeeze, stretch, unframe
 from .features import chain
 
 #: Hashes that stand for the end of a text and for what stands before its first word.
@@ -31,46 +30,6 @@ BLOCK_BYTES = 4 << 20
 STEPS = 8
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """Compress non-negative integers, plane by plane of their bytes."""
-    a = a.astype("<u8")
-    planes = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
-    flat = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
-    return len(a).to_bytes(6, "little") + bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(flat)
-
-
-def stretch(data: bytes) -> np.ndarray:
-    n, planes = int.from_bytes(data[:6], "little"), data[6]
-    out = np.zeros((n, 8), np.uint8)
-    if n and planes:
-        out[:, :planes] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[7:], max_output_size=n * planes), np.uint8).reshape(planes, n).T
-    return out.view("<u8").ravel()
-
-
-def _frame(parts: list[bytes]) -> bytes:
-    return b"".join(len(x).to_bytes(6, "little") + x for x in parts)
-
-
-def _unframe(data: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 6], "little")
-        out.append(data[at + 6 : at + 6 + n])
-        at += 6 + n
-    return out
-
-
-def _ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, rising, and the place of each value among them."""
-    order = np.argsort(h)
-    s = h[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    rank = np.empty(len(s), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return s[new], rank
-
-
 class Block:
     """The tokens of some documents: distinct unigrams and bigrams, and where they stand."""
 
@@ -89,28 +48,17 @@ class Block:
         weight = np.repeat(train.astype(np.int64), self.lengths)
         self.keys, self.rank, self.counts = [], [], []
         for x in (tokens, chain(before, tokens, 5)):
-            keys, rank = _ranked(x)
+            keys, rank = ranked(x)
             self.keys.append(keys)
             self.rank.append(rank)
             self.counts.append(np.bincount(rank, weights=weight, minlength=len(keys)).astype(np.int64))
 
-    def name(self, ids: list) -> int:
-        """The same for the same documents, so two passes over a table agree."""
-        return xxhash.xxh64_intdigest(repr((ids, self.lengths.tolist(), [len(k) for k in self.keys])).encode()) >> 1
-
-
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, Block]]:
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, Block]]:
+    namer = Namer()
     for part, found in common.slices(batches, "text", BLOCK_BYTES):
         ids = part.column(0).to_pylist()
-        yield ids, Block(found, np.array(part.column(1).to_pylist(), bool))
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-SENT = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
-SENT_DDL = "block bigint, kind int, bucket int, payload binary"
+        block = Block(found, np.array(part.column(1).to_pylist(), bool))
+        yield namer.name(ids, block.lengths.tolist()), ids, block
 
 
 def totals(docs: DataFrame, bits: int) -> DataFrame:
@@ -120,42 +68,31 @@ def totals(docs: DataFrame, bits: int) -> DataFrame:
     """
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, block in _blocks(batches):
-            name, rows = block.name(ids), []
+        for name, _, block in _blocks(batches):
+            out = []
             for kind in (UNIGRAM, BIGRAM):
                 keys = block.keys[kind]
-                cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
+                cuts = bucket_cuts(keys, bits)
                 for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     if b > a:
-                        rows.append((name, kind, bucket, _frame([squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(block.counts[kind][a:b])])))
-            yield _rows(rows, SENT)
+                        out.append((name, kind, bucket, frame([squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(block.counts[kind][a:b])])))
+            yield rows(out)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        at = None
-
-        def close() -> pa.RecordBatch:
-            parts = [[stretch(x) for x in _unframe(p)] for _, p in held]
+        def close(at: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            parts = [[stretch(x) for x in unframe(p)] for *_, p in held]
             keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in parts])
-            _, rank = _ranked(keys)
+            _, rank = ranked(keys)
             sums = np.bincount(rank, weights=np.concatenate([c for _, c in parts]).astype(np.float64)).astype(np.int64)
-            back, rows, i = sums[rank], [], 0
-            for (name, _), (k, _) in zip(held, parts, strict=True):
-                rows.append((name, *at, squeeze(back[i : i + len(k)])))
+            back, out, i = sums[rank], [], 0
+            for (name, *_), (k, _) in zip(held, parts, strict=True):
+                out.append((name, *at, squeeze(back[i : i + len(k)])))
                 i += len(k)
             if at[0] == UNIGRAM:
-                rows.append((-1, *at, squeeze(np.array([np.count_nonzero(sums), sums.sum()]))))
-            return _rows(rows, SENT)
-
-        for batch in batches:
-            for name, kind, bucket, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and at != (kind, bucket):
-                    yield close()
-                    held = []
-                at = (kind, bucket)
-                held.append((name, payload))
-        if held:
-            yield close()
+                out.append((-1, *at, squeeze(np.array([np.count_nonzero(sums), sums.sum()]))))
+            yield rows(out)
+
+        return runs(batches, 2, close, skip=1)
 
     n = common.partitions(docs.sparkSession)
     sent = docs.mapInArrow(send, SENT_DDL).repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
@@ -169,7 +106,7 @@ class Counted:
         texts = [p for kind, _, p in rows if kind == TEXTS]
         if len(texts) != 1:
             raise RuntimeError("a block met totals that are not its own; the table changed between two passes")
-        lengths, train, uni, bi = (stretch(x) for x in _unframe(texts[0])[1:5])
+        lengths, train, uni, bi = (stretch(x) for x in unframe(texts[0])[1:5])
         self.ids = texts[0]
         self.lengths, self.train = lengths.astype(np.int64), train.astype(bool)
         found = [np.concatenate([stretch(p) for k, _, p in rows if k == kind]).astype(np.int64) for kind in (UNIGRAM, BIGRAM)]
@@ -185,26 +122,16 @@ def counted(docs: DataFrame, sums: DataFrame, out: callable, schema: str) -> Dat
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, block in _blocks(batches):
+        for name, ids, block in _blocks(batches):
             own = pa.array(ids, id_type)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", own.type)])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([own], ["id"]))
-            payload = _frame([sink.getvalue().to_pybytes(), squeeze(block.lengths), squeeze(block.train), squeeze(block.rank[UNIGRAM]), squeeze(block.rank[BIGRAM])])
-            yield _rows([(block.name(ids), TEXTS, 0, payload)], SENT)
+            payload = frame([sink.getvalue().to_pybytes(), squeeze(block.lengths), squeeze(block.train), squeeze(block.rank[UNIGRAM]), squeeze(block.rank[BIGRAM])])
+            yield rows([(name, TEXTS, 0, payload)])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        at = None
-        for batch in batches:
-            for name, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and name != at:
-                    yield out(held)
-                    held = []
-                at = name
-                held.append(tuple(row))
-        if held:
-            yield out(held)
+        return runs(batches, 1, lambda _, held: [out([r[1:] for r in held])])
 
     n = common.partitions(docs.sparkSession)
     both = docs.mapInArrow(texts, SENT_DDL).unionByName(sums.where("block >= 0"))
@@ -243,7 +170,7 @@ def deleted_cells(c: Counted, n: int, v: int) -> np.ndarray:
         ratios = [np.where(pair > 0, pair / context, 0) / p0, word / max(n - 1, 1) / p0]
         steps = [np.where(r > 0, np.rint((np.log2(np.where(r > 0, r, 1)) + 32) * STEPS), -1).astype(np.int64) for r in ratios]
     key = context_class(context) << 40 | (steps[0] + 1) << 20 | (steps[1] + 1)
-    keys, rank = _ranked(key)
+    keys, rank = ranked(key)
     return np.stack([keys >> 40, (keys >> 20 & 0xFFFFF) - 1, (keys & 0xFFFFF) - 1, np.bincount(rank, minlength=len(keys))], axis=1)
 
 
@@ -290,7 +217,7 @@ def score_texts(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFram
         p = w[:, 0] * (c.pair / np.maximum(c.context, 1)) + w[:, 1] * (c.word / max(n, 1)) + w[:, 2] / (v + 1)
         add = lambda x: np.add.reduceat(x, c.first)
         base = np.log10((c.word + 0.1) / (n + 0.1 * (v + 1)))
-        with pa.ipc.open_stream(pa.BufferReader(_unframe(c.ids)[0])) as r:
+        with pa.ipc.open_stream(pa.BufferReader(unframe(c.ids)[0])) as r:
             ids = r.read_all().column(0).combine_chunks()
         return pa.RecordBatch.from_arrays([ids, pa.array(~c.train), pa.array(c.lengths), pa.array(add((c.word > 0).astype(np.int64))), pa.array(np.full(len(c.lengths), n)), pa.array(add(base)), pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
