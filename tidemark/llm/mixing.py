@@ -60,7 +60,7 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: id, size, source, source_size, target, taken.
+    """One row per document: id, size, source, source_size, target, taken; epochs, rest, place, text_hash.
 
     taken: words of the document that the mix holds. A source gets its whole epochs
     first; the rest of its budget goes to documents in key order, and the one in which
@@ -73,9 +73,10 @@ def mix_sources(
     """
     spark = docs.sparkSession
     common.tune(spark)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    text_hash = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_hash))
     sized = common.materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")),
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), text_hash.alias("text_hash")),
         "mix-sizes",
     )
     # Bits of the key that name a bucket: from the number of rows, which the written table's footers tell.
@@ -107,12 +108,30 @@ def mix_sources(
             "target",
             (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
             F.col("epochs"),
-            F.col("base").alias("bucket_start"),
-            F.col("key").alias("mix_key"),
+            "rest",
+            (F.col("base") + F.col("inside")).alias("place"),
+            "text_hash",
         )
     )
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The documents as the mix holds them, all columns kept: a row for each time a document is taken.
+
+    Documents stay whole: the one in which its source's budget ends is taken if half of it or more is
+    within; a document without words goes with the place it stands at. Rows with equal id and text
+    are taken as one document that is there that many times.
+    """
+    name = [F.col("doc_id").alias("_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_hash")]
+    keyed = docs.select("*", *name)
+    taken = mix_sources(docs.select("doc_id", "text", "source"), **how)
+    part = F.col("taken") - F.col("epochs") * F.col("size")
+    times = F.col("epochs") + F.when(F.col("size") > 0, (2 * part >= F.col("size")).cast("long")).otherwise((F.col("place") < F.col("rest")).cast("long"))
+    counts = taken.groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.sum(times).alias("_times")).where("_times > 0")
+    whole = keyed.dropDuplicates(["_id", "_hash"]).join(counts, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
+    return whole.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_sources(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, lm, lzprint, mixing, packing, quality, simhash, toxicity, wavelet
+from . import ann, dedup, lm, lzprint, mixing, packing, quality, simhash, toxicity, wavelet
 
 QUERIES: dict = {
+    "op1_suffix_dedup": dedup.op1_suffix_dedup,
     "op2_pack": packing.op2_pack,
     "op3_lz_fingerprints": lzprint.op3_lz_fingerprints,
     "op4_simhash": simhash.op4_simhash,

@@ -198,5 +198,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+    """The documents without near-duplicates: of each component the row of the smallest (doc_id, hash of the text) stays. All columns are kept."""
+    key = F.struct(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("hash"))
+    named = docs.select(key.alias("_key"), "text")
+    found = near_duplicates(named, width, radius, "_key", "text")
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").select(*docs.columns)
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -81,23 +81,31 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = 4) -> tuple[np.ndarray,
     return np.frombuffer(found[0]["features"], "<u4").astype(np.int64), np.frombuffer(found[0]["weights"], "<f8"), found[0]["bias"]
 
 
+def dense(model: tuple[np.ndarray, np.ndarray, float], bits: int) -> tuple[np.ndarray, float]:
+    features, weights, bias = model
+    w = np.zeros(1 << bits)
+    w[features] = weights
+    return w, bias
+
+
+def probabilities(found: list[bytes], w: np.ndarray, bias: float, bits: int) -> np.ndarray:
+    """Score of each text, by its distinct features that have a weight."""
+    doc, feature = gram_features(found, bits)
+    live = w[feature] != 0
+    doc, feature, _ = distinct(doc[live], feature[live], bits)
+    total = bias + np.bincount(doc, weights=w[feature], minlength=len(found))
+    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: each whole text's probability; null texts count as empty."""
-    features, weights, bias = model
-    sent = docs.sparkSession.sparkContext.broadcast((features, weights, bias))  # at most 2**bits numbers
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**bits numbers
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, weights, bias = sent.value
-        w = np.zeros(1 << bits)
-        w[features] = weights
-        used = w != 0
+        w, bias = dense(sent.value, bits)
         for part, found in common.slices(batches, "text"):
-            doc, feature = gram_features(found, bits)
-            live = used[feature]
-            doc, feature, _ = distinct(doc[live], feature[live], bits)
-            total = bias + np.bincount(doc, weights=w[feature], minlength=len(found))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(probabilities(found, w, bias, bits))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, score double")
 
@@ -118,5 +126,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
     return judge(score(docs, fit(training_rows(docs, labels, "toxic", folds, held_out, most_training))), folds, held_out)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most_training: int = MOST_TRAINING) -> DataFrame:
+    """The documents, all columns kept, that ``toxicity`` doesn't predict as toxic."""
+    spark = docs.sparkSession
+    common.tune(spark)
+    bits = BITS
+    sent = spark.sparkContext.broadcast(fit(training_rows(docs, labels, "toxic", folds, held_out, most_training)))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, bias = dense(sent.value, bits)
+        for part, found in common.slices(batches, "text"):
+            yield part.filter(pa.array(probabilities(found, w, bias, bits) < 0.5))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
