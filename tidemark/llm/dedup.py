@@ -35,7 +35,7 @@ from .suffix import common_prefixes, suffix_array
 LENGTH = 100
 GRAM = 32
 #: Text bytes of a shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 ANCHORS, TEXTS, SEGMENTS, REPEATS, WHOLE = 0, 1, 2, 3, 4
 LAST = (1 << 63) - 1
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
