@@ -2,5 +2,108 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..operators import admission, kv, lsm, sketches, text
+from ..sources.oplog import read_events
+from ..streaming import oplog_stream
+
+CONFIG = Config()
+BUCKET = (3, 86_400)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _ops(spark, d):
+    return read_events(spark, d)
+
+
+def _puts(spark, d):
+    return _ops(spark, d).where("op = 'put'")
+
+
+def _asked(spark, d):
+    return _table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+
+
+def _runs(spark, d):
+    return lsm.runs(_ops(spark, d))
+
+
+def _two(spark, d):
+    r = _runs(spark, d)
+    return lsm.compact_two(r.where("gen = 19723"), r.where("gen = 19724")).drop("crc")
+
+
+def _stream(spark, d):
+    events = _table(spark, d, "events")
+    return oplog_stream.read_stream(spark, d, events.schema, pattern="events.parquet")
+
+
+def _stream_snapshot(spark, d):
+    out = oplog_stream.drain(oplog_stream.latest_stream(_stream(spark, d)), oplog_stream.scratch(spark, "snapshot"), "complete")
+    return out.where("op <> 'delete'").drop("op")
+
+
+def _stream_bucket(spark, d):
+    return oplog_stream.drain(oplog_stream.token_bucket_stream(_stream(spark, d), *BUCKET), oplog_stream.scratch(spark, "bucket"), "append")
+
+
+def _stream_cms(spark, d):
+    return oplog_stream.drain(oplog_stream.cms_stream(_stream(spark, d), CONFIG.cms_epsilon, CONFIG.cms_delta), oplog_stream.scratch(spark, "cms"), "complete")
+
+
+_CMS = (CONFIG.cms_epsilon, CONFIG.cms_delta)
+
+QUERIES = {
+    "kv_snapshot": lambda s, d: kv.snapshot(_ops(s, d)),
+    "kv_get": lambda s, d: kv.get(_ops(s, d), "7"),
+    "kv_multi_get_status": lambda s, d: kv.multi_get(_ops(s, d), _asked(s, d)),
+    "kv_delete_effects": lambda s, d: kv.delete_effects(_ops(s, d)),
+    "kv_tombstones": lambda s, d: kv.tombstones(_ops(s, d)),
+    "kv_ordered_scan": lambda s, d: kv.ordered_scan(_ops(s, d)),
+    "kv_overwrite_count": lambda s, d: kv.overwrites(_ops(s, d)),
+    "kv_history": lambda s, d: kv.history(_ops(s, d)),
+    "wal_segments": lambda s, d: lsm.wal_segments(_ops(s, d), CONFIG.wal_size),
+    "wal_replay": lambda s, d: lsm.wal_replay(_ops(s, d), CONFIG.wal_size),
+    "wal_record_crc": lambda s, d: lsm.wal_records(_ops(s, d)),
+    "flush_plan": lambda s, d: lsm.flush_plan(_ops(s, d), CONFIG),
+    "sstable_index": lambda s, d: lsm.run_index(_runs(s, d)),
+    "sstable_summary": lambda s, d: lsm.run_summary(_runs(s, d)),
+    "generation_discovery": lambda s, d: lsm.newest_generation(_runs(s, d)),
+    "run_manifest": lambda s, d: lsm.manifest(_runs(s, d)),
+    "compact_two_runs": _two,
+    "compact_kway": lambda s, d: lsm.compact(_runs(s, d), True).select("key", "value", "ts", "gen"),
+    "lsm_layered_get": lambda s, d: lsm.layered_get(_ops(s, d), _runs(s, d), _asked(s, d)),
+    "merkle_root": lambda s, d: lsm.merkle_roots(lsm.run_leaves(_runs(s, d)), ["level", "gen"]),
+    "bloom_sizing": lambda s, d: sketches.bloom_sizing(_runs(s, d), CONFIG.bloom_rate),
+    "bloom_semi_join": lambda s, d: sketches.bloom_semi_join(_table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name")), _ops(s, d), CONFIG.bloom_rate),
+    "cms_matrix": lambda s, d: sketches.cms_matrix(_puts(s, d), *_CMS),
+    "cms_frequency": lambda s, d: sketches.cms_frequency(_puts(s, d), _asked(s, d), *_CMS),
+    "cms_named": lambda s, d: sketches.cms_frequency(_puts(s, d), _puts(s, d).select("category", "key").distinct(), *_CMS, by=["category"]),
+    "cms_bounds": lambda s, d: sketches.cms_bounds(_puts(s, d), *_CMS),
+    "hll_registers": lambda s, d: sketches.hll_registers(_puts(s, d), CONFIG.hll_precision),
+    "hll_estimate": lambda s, d: sketches.hll_estimate(sketches.hll_registers(_puts(s, d), CONFIG.hll_precision), CONFIG.hll_precision),
+    "hll_named": lambda s, d: sketches.hll_estimate(sketches.hll_registers(_puts(s, d), CONFIG.hll_precision, ["category"]), CONFIG.hll_precision, ["category"]),
+    "hll_builtin": lambda s, d: sketches.hll_builtin(_puts(s, d), CONFIG.hll_precision, ["category"]),
+    "word_frequencies": lambda s, d: text.word_counts(_table(s, d, "documents")),
+    "simhash_fingerprint": lambda s, d: text.fingerprints(_table(s, d, "documents")),
+    "simhash_pairs": lambda s, d: text.near_pairs(text.fingerprints(_table(s, d, "documents"))),
+    "token_bucket": lambda s, d: admission.token_bucket(_ops(s, d), *BUCKET),
+    "token_bucket_totals": lambda s, d: admission.admitted_per_key(_ops(s, d), *BUCKET),
+    "lru_hits": lambda s, d: admission.lru_hits(_ops(s, d), CONFIG.cache_max_size),
+    "stream_snapshot": _stream_snapshot,
+    "stream_token_bucket": _stream_bucket,
+    "stream_cms": _stream_cms,
+}
+
+ORACLES: dict[str, str] = kv.ORACLES | lsm.ORACLES | sketches.ORACLES | text.ORACLES | admission.ORACLES
+ORACLES |= {
+    "stream_snapshot": ORACLES["kv_snapshot"],
+    "stream_token_bucket": ORACLES["token_bucket"],
+    "stream_cms": ORACLES["cms_matrix"],
+}
