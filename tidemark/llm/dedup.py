@@ -112,7 +112,7 @@ class Shard:
         at = np.flatnonzero(new)
         self.lo, self.hi = starts[at], starts[np.append(at[1:], total) - 1] if total else starts[at]
         self.at = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.hash = h[self.at]
+        self.hash = common.fmix(h[self.at])  # minima are small numbers; mixed, they spread over all buckets
         self.doc = np.repeat(docs, counts)[at]
         by = np.argsort(self.hash)
         s = self.hash[by]
