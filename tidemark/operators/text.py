@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+from hashlib import md5
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hamming
@@ -16,71 +22,68 @@ STOP_WORDS = (
     "few more most other some such only own same so than too very s t can will just don should now"
 ).split(" ")
 
-#: Bits of a sum's lane when several share one 64-bit sum.
-LANE = 21
-
-
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, word, n: words between single spaces that are no stop words; an empty word counts as one."""
     words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), " ")).alias("word"))
     return words.where(~F.col("word").isin(STOP_WORDS)).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def text_fingerprints(texts: list[str | None]) -> np.ndarray:
+    """(text, word) -> the 256 bits as four 64-bit integers; 0 without a word that counts."""
+    rows: dict[str, int] = {}
+    stop = frozenset(STOP_WORDS)
+    docs = [[rows.setdefault(w, len(rows)) for w in (x or "").split(" ") if w not in stop] for x in texts]
+    digits = np.frombuffer("".join(md5(w.encode()).hexdigest() for w in rows).encode(), np.uint8).reshape(-1, 32)
+    bits = np.unpackbits(digits, axis=1)
+    out = np.zeros((len(texts), 32), np.uint8)
+    for i, words in enumerate(docs):
+        votes = np.zeros(256, np.int64)
+        for at in range(0, len(words), 4096):
+            votes += bits[words[at : at + 4096]].sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * votes > len(words))
+    return out.view(">i8").astype(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, w0..w3: bit k is set where words whose MD5 text has it outweigh those that lack it.
+    """id, w0..w3: bit k is set where words whose MD5 digits (as text) have it outweigh those that lack it.
 
-    The text of an MD5 has 32 characters of 8 bits. Of a character 0-9 or a-f only five bits
-    vary: letter, digit (its opposite) and the low four. So a document needs five sums for each
-    character; they are packed into lanes of 64-bit sums, 64 of these instead of 256.
+    A document's words are all in its row, so they are counted there, batch by batch in numpy, with no shuffle.
+    A text of stop words only has all bits 0; a null text is empty, which is one empty word.
     """
-    counted = word_counts(docs, id_col, text_col)
-    h = counted.select("id", "n", F.md5("word").alias("h"))
-    sums: list[Column] = []
-    for p in range(32):
-        c = F.ascii(F.substring("h", p + 1, 1)).cast("bigint")
-        bit = lambda k, c=c: F.shiftright(c, k).bitwiseAND(F.lit(1))
-        sums.append(F.sum(F.col("n") * (bit(6) + F.shiftleft(bit(3), LANE) + F.shiftleft(bit(2), 2 * LANE))).alias(f"a{p}"))
-        sums.append(F.sum(F.col("n") * (bit(1) + F.shiftleft(bit(0), LANE))).alias(f"b{p}"))
-    voted = h.groupBy("id").agg(F.sum("n").alias("n"), *sums)
-    mask = F.lit((1 << LANE) - 1)
-    lane = lambda c, k: F.shiftright(F.col(c), k * LANE).bitwiseAND(mask)
-    words = []
-    for w in range(4):
-        total = F.lit(0).cast("bigint")
-        for i in range(8):
-            p = 8 * w + i
-            more = lambda x: (2 * x > F.col("n")).cast("bigint")
-            letters = lane(f"a{p}", 0)
-            bits = [F.lit(0), more(letters), F.lit(1), more(F.col("n") - letters), more(lane(f"a{p}", 1)), more(lane(f"a{p}", 2)), more(lane(f"b{p}", 0)), more(lane(f"b{p}", 1))]
-            for k, b in enumerate(bits):
-                total = total + F.shiftleft(b.cast("bigint"), 63 - 8 * i - k)
-        words.append(total.alias(f"w{w}"))
-    found = voted.select("id", *words)
-    # A text of stop words only has no word to vote: all bits are 0.
-    return docs.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", *(F.coalesce(f"w{w}", F.lit(0)).cast("bigint").alias(f"w{w}") for w in range(4)))
-
-
-def near_pairs(prints: DataFrame, radius: int = 7) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                words = text_fingerprints(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(words[:, i]) for i in range(4))], ["id", "w0", "w1", "w2", "w3"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+
+
+def near_pairs(prints: DataFrame, radius: int = 7, keep: int = 2) -> DataFrame:
     """id_a, id_b, distance: pairs of classes of equal fingerprints (named by their smallest ids) within ``radius``, exactly.
 
-    radius + 1 bands of whole characters: a pair within the radius agrees on one band at least. A pair counts at the first band it agrees on, so
-    none is listed twice and no distinct is needed.
+    radius + keep bands of whole characters: a pair within the radius agrees on ``keep`` bands at least. Every choice of
+    ``keep`` bands is a join key, and a pair counts at the first bands it agrees on, so none is listed twice and no distinct is needed.
     """
-    if not 0 <= radius <= 31:
-        raise ValueError("radius must be 0 to 31")
+    n = radius + keep
+    if radius < 0 or keep < 1 or n > 32:
+        raise ValueError("radius + keep must be at most 32")
     w = [f"w{i}" for i in range(4)]
     classes = prints.groupBy(*w).agg(F.min("id").alias("id"))
-    n = radius + 1
     cuts = [32 * i // n for i in range(n + 1)]
     digits = F.concat(*(F.lpad(F.hex(c), 16, "0") for c in w))
     bands = F.array(*(F.substring(digits, 2 * cuts[i] + 1, 2 * (cuts[i + 1] - cuts[i])) for i in range(n)))
-    keyed = classes.withColumn("bands", bands).select("id", *w, "bands", F.posexplode("bands").alias("band", "part"))
-    a = keyed.select("band", "part", F.col("id").alias("id_a"), F.col("bands").alias("bands_a"), *(F.col(c).alias(f"a_{c}") for c in w))
-    b = keyed.select("band", "part", F.col("id").alias("id_b"), F.col("bands").alias("bands_b"), *(F.col(c).alias(f"b_{c}") for c in w))
-    met = a.join(b, ["band", "part"]).where("id_a < id_b")
-    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) - 1
+    choices = F.array(*(F.struct(F.lit(list(c)).alias("choice"), F.concat(*(F.col("bands")[i] for i in c)).alias("part")) for c in combinations(range(n), keep)))
+    keyed = classes.withColumn("bands", bands).select("id", *w, "bands", F.explode(choices).alias("k")).select("id", *w, "bands", "k.*")
+    a = keyed.select("choice", "part", F.col("id").alias("id_a"), F.col("bands").alias("bands_a"), *(F.col(c).alias(f"a_{c}") for c in w))
+    b = keyed.select("choice", "part", F.col("id").alias("id_b"), F.col("bands").alias("bands_b"), *(F.col(c).alias(f"b_{c}") for c in w))
     distance = hamming([F.col(f"a_{c}") for c in w], [F.col(f"b_{c}") for c in w])
-    return met.withColumn("distance", distance).where((F.col("distance") <= radius) & (first == F.col("band"))).select("id_a", "id_b", "distance")
+    met = a.join(b, ["choice", "part"]).where("id_a < id_b").withColumn("distance", distance).where(F.col("distance") <= radius)
+    agreed = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("bands_a")[i] == F.col("bands_b")[i])
+    return met.where(F.slice(agreed, 1, keep) == F.col("choice")).select("id_a", "id_b", "distance")
 
 
 _WORDS = "', '".join(STOP_WORDS)
