@@ -29,7 +29,7 @@ class Encoder:
     cache is emptied when it holds ``most`` pieces, which bounds its memory.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1_000_000):
+    def __init__(self, path: str | None = None, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,39 +58,47 @@ class Encoder:
                 starts, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(found)]
                 known.update((w, found[a:b]) for w, a, b in zip(words, starts, ends, strict=True))
 
-    def _learn(self, known: dict[str, bytes | None], lead: str, wanted: set[str]) -> None:
-        new = [w for w in wanted if w not in known]
-        odd, cores, made = [], set(), []
+    def _pieces(self, known: dict[str, bytes | None], lead: str, wanted: set[str]) -> dict[str, bytes | None]:
+        """Ids of the wanted pieces. Only words without trailing punctuation stay in ``known``, which keeps it small."""
+        found: dict[str, bytes | None] = {}
+        new = []
+        for w in wanted:
+            if w in known:
+                found[w] = known[w]
+            else:
+                new.append(w)
+        odd, plain, made, seen = [], [], [], set()
         for w in new:
             core = w.rstrip(string.punctuation)
             if len(core) < len(w) and core and core[-1].isalpha() and core[-1] < "\u2000" and not any(x in w for x in self.special):
                 made.append((w, core, w[len(core) :]))
-                cores.add(core)
             else:
-                cores.add(w)
-        plain = []
-        for w in cores:
-            if w in known:
+                core = w
+            if core in known or core in seen:
                 continue
-            if BLANK.search(w):
-                if w[0].isspace() or w[-1].isspace() or PAIR.search(w):
-                    known[w] = None
+            seen.add(core)
+            if BLANK.search(core):
+                if core[0].isspace() or core[-1].isspace() or PAIR.search(core):
+                    known[core] = None
                 else:
-                    odd.append(w)
-            elif w:
-                plain.append(w)
+                    odd.append(core)
+            elif core:
+                plain.append(core)
             else:
-                known[w] = None
+                known[core] = None
         if not lead or len(self.line) != 1:
             odd, plain = odd + plain, []
         known.update(zip(odd, self._plain([lead + x for x in odd]), strict=True))
         self._lines(known, lead, plain)
-        if made:
-            ends = [x for x in {tail for _, _, tail in made} if x not in self.first]
-            self.first.update(zip(ends, self._plain(ends), strict=True))
-            for w, core, tail in made:
-                head = known[core]
-                known[w] = None if head is None else head + self.first[tail]
+        ends = [x for x in {tail for _, _, tail in made} if x not in self.first]
+        self.first.update(zip(ends, self._plain(ends), strict=True))
+        for w, core, tail in made:
+            head = known[core]
+            found[w] = None if head is None else head + self.first[tail]
+        for w in new:
+            if w not in found:
+                found[w] = known[w]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -98,18 +106,16 @@ class Encoder:
             self.first.clear()
             self.later.clear()
         split = [x.split(" ") for x in texts]
-        heads: set[str] = {w[0] for w in split}
         tails: set[str] = set()
         for w in split:
             tails.update(w[1:])
-        self._learn(self.first, "", heads)
-        self._learn(self.later, " ", tails)
-        later = self.later.__getitem__
+        heads = self._pieces(self.first, "", {w[0] for w in split})
+        later = self._pieces(self.later, " ", tails).__getitem__
         out: list[bytes] = []
         whole = []
         for i, w in enumerate(split):
             try:
-                out.append(b"".join([self.first[w[0]], *map(later, w[1:])]))
+                out.append(b"".join([heads[w[0]], *map(later, w[1:])]))
             except TypeError:
                 out.append(b"")
                 if texts[i]:

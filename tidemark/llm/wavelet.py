@@ -48,7 +48,7 @@ class WaveletMatrix:
             before = np.cumsum(ONES[packed].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32), dtype=np.uint32)
             planes.append(packed)
             ranks.append(np.concatenate([np.zeros(1, np.uint32), before]))
-            a = np.concatenate([a[~one], a[one]])
+            a = np.concatenate([np.compress(~one, a), np.compress(one, a)])
             zeros[level] = len(a) - int(ranks[-1][-1])
         return cls(len(ids), bits, zeros, planes, ranks)
 
@@ -129,8 +129,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             zeros, up = int(self.zeros[level]), np.empty(self.n, kind)
-            up[~one] = a[:zeros]
-            up[one] = a[zeros:] | kind(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~one)] = a[:zeros]
+            up[np.flatnonzero(one)] = a[zeros:] | kind(1 << (self.bits - 1 - level))
             a = up
         return a
 
