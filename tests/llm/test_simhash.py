@@ -98,3 +98,65 @@ def test_components_of_long_and_wide_graphs(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (500, 400)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {k: 100 for k in range(100, 160)} | {500: 400, 400: 400}
+
+
+def test_majority_equals_plain_counting():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    base = np.array([0, 1, 3, 258, 513, 1023, 1100])
+    want = []
+    for a, b in zip(base, [*base[1:], 3000], strict=True):
+        want.append(sum(1 << j for j in range(64) if 2 * sum(int(x) >> j & 1 for x in hashes[a:b]) > b - a))
+    assert simhash.majority(hashes, base).tolist() == want
+
+
+def test_closest_links_keep_every_threshold():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, (4, 4), dtype=np.uint64)
+    rows = []
+    for b in base:
+        for _ in range(20):
+            w = [int(x) for x in b]
+            for _ in range(int(rng.integers(0, 30))):
+                w[int(rng.integers(0, 4))] ^= 1 << int(rng.integers(0, 64))
+            rows.append(w)
+    fps = np.array(rows, np.uint64)
+    d = lambda i, j: sum((int(x) ^ int(y)).bit_count() for x, y in zip(fps[i], fps[j], strict=True))
+    a, b = simhash.closest_links(fps, 50)
+
+    def groups(pairs):
+        label = list(range(len(fps)))
+        for i, j in pairs:
+            lo, hi = sorted((label[i], label[j]))
+            label = [lo if x == hi else x for x in label]
+        return label
+
+    for most in (5, 20, 35, 50):
+        full = groups([(i, j) for i in range(len(fps)) for j in range(i) if d(i, j) <= most])
+        mine = groups([(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if d(i, j) <= most])
+        assert len(set(zip(full, mine, strict=True))) == len(set(full)) == len(set(mine))
+
+
+@pytest.mark.parametrize("rows", [2048, 6])
+def test_similar_groups_follow_exact_resemblance(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "WIDE_ROWS", rows)
+    rng = np.random.default_rng(12)
+    docs, sets = [], []
+    for g in range(12):
+        words = [f"w{k}" for k in rng.integers(0, 100000, 200)]
+        for edits in (0, 0, 1, 2, 3, 12, 30):
+            w = list(words)
+            for at in rng.choice(200, edits, replace=False):
+                w[int(at)] = f"x{rng.integers(0, 10**9)}"
+            docs.append((len(docs), " ".join(w)))
+            sets.append({tuple(w[i : i + 5]) for i in range(196)})
+    docs += [(len(docs), ""), (len(docs) + 1, None), (len(docs) + 2, "a b")]
+    sets += [set(), set(), {("a", "b")}]
+    got = {r["key"]: r["group"] for r in simhash.similar_groups(spark.createDataFrame(docs, "k long, text string"), "k").collect()}
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if (not sets[i] and not sets[j]) or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    assert got == dict(enumerate(label))

@@ -26,15 +26,12 @@ TILE_ROWS = 8192
 TILE = 512
 
 
-def text_fingerprints(found: list[bytes], width: int = 4, seed: int = 42) -> np.ndarray:
-    """SimHash of each text: majority of XXH64 bits over its word shingles; 0 without words."""
-    out = np.zeros(len(found), np.uint64)
+def shingle_hashes(found: list[bytes], width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of the word shingles of texts that have words: (hashes, first hash of each text, the texts)."""
     docs = [x.translate(common.LOWER_TABLE).split() for x in found]
     data = b" ".join(b" ".join(w) for w in docs if w)
     sizes = np.array([len(w) for w in docs], np.int64)
     live = np.flatnonzero(sizes)
-    if not live.size:
-        return out
     sizes = sizes[live]
     gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
@@ -44,12 +41,39 @@ def text_fingerprints(found: list[bytes], width: int = 4, seed: int = 42) -> np.
     at = np.arange(int(counts.sum())) - np.repeat(base - first, counts)
     last = at + np.repeat(np.minimum(sizes, width) - 1, counts)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(data[a:b], seed) for a, b in zip(starts[at].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(at))
-    bits = np.zeros(len(live), np.uint64)
-    for j in range(64):
-        ones = np.add.reduceat((hashes >> np.uint64(j)) & np.uint64(1), base)
-        bits |= (2 * ones > counts.astype(np.uint64)).astype(np.uint64) << np.uint64(j)
-    out[live] = bits
+    return np.fromiter((digest(data[a:b], seed) for a, b in zip(starts[at].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(at)), base, live
+
+
+#: The bits of a byte, each in a byte of its own, lowest first.
+LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
+
+
+def majority(hashes: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Of each run of hashes (starting at ``base``), the bits that more than half of them have.
+
+    The bits of each byte are added eight at a time, in byte lanes that hold sums of up to 255 hashes.
+    """
+    counts = np.diff(base, append=len(hashes))
+    chunks = -(-counts // 255)
+    owner = np.repeat(np.arange(len(base)), chunks)
+    first_chunk = np.cumsum(chunks) - chunks
+    starts = base[owner] + 255 * (np.arange(len(owner)) - first_chunk[owner])
+    columns = hashes.view(np.uint8).reshape(-1, 8)
+    out = np.zeros(len(base), np.uint64)
+    for byte in range(8):
+        sums = np.add.reduceat(LANES[columns[:, byte]], starts).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(sums.astype(np.int64), first_chunk, axis=0)
+        for k in range(8):
+            out |= (2 * ones[:, k] > counts).astype(np.uint64) << np.uint64(8 * byte + k)
+    return out
+
+
+def text_fingerprints(found: list[bytes], width: int = 4, seed: int = 42) -> np.ndarray:
+    """SimHash of each text: majority of XXH64 bits over its word shingles; 0 without words."""
+    out = np.zeros(len(found), np.uint64)
+    hashes, base, live = shingle_hashes(found, width, seed)
+    if live.size:
+        out[live] = majority(hashes, base)
     return out
 
 
@@ -198,11 +222,168 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """The documents without near-duplicates: of each component the row of the smallest (doc_id, hash of the text) stays. All columns are kept."""
+#: Words of 64 bits of a wide fingerprint, and the bits that two texts at the wanted similarity may well differ in.
+WIDE = 4
+#: Rows of a bucket of wide fingerprints that one task compares at most, and bits of a bucket's key.
+WIDE_ROWS, WIDE_BITS = 2048, 18
+
+
+def wide_fingerprints(found: list[bytes], width: int) -> np.ndarray:
+    """(text, word): ``WIDE`` words of SimHash; the further ones take mixed hashes."""
+    out = np.zeros((len(found), WIDE), np.uint64)
+    hashes, base, live = shingle_hashes(found, width, 42)
+    if live.size:
+        for w in range(WIDE):
+            out[live, w] = majority(hashes if not w else common.fmix(hashes + np.uint64(w) * common.GOLDEN), base)
+    return out
+
+
+def expected_share(similarity: float) -> float:
+    """Share of bits in which texts of that resemblance (Jaccard) differ: the angle between their shingle vectors over pi."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_masks(similarity: float, miss: float = 0.01, seed: int = 5) -> list[tuple[int, int]]:
+    """(word, mask) of random bits: texts at the similarity agree under none of them with chance ``miss`` at most."""
+    agree = (1 - expected_share(similarity)) ** WIDE_BITS
+    rng = np.random.default_rng(seed)
+    return [(t % WIDE, sum(1 << int(i) for i in rng.choice(64, WIDE_BITS, replace=False))) for t in range(int(np.ceil(np.log(miss) / np.log(1 - agree))))]
+
+
+def closest_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b) of the links within ``radius`` among rows of words, shortest links first.
+
+    So for every distance the forest's links up to it connect what all links up to it connect.
+    """
+    ones = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+    order = np.argsort(ones, kind="stable")
+    f, ones = fps[order], ones[order]
+    found = []
+    for i in range(0, len(f), TILE):
+        for j in range(i, len(f), TILE):
+            if ones[j] - ones[min(i + TILE, len(f)) - 1] > radius:
+                break
+            apart = np.bitwise_count(f[i : i + TILE, None, 0] ^ f[None, j : j + TILE, 0]).astype(np.int16)
+            for w in range(1, fps.shape[1]):
+                apart += np.bitwise_count(f[i : i + TILE, None, w] ^ f[None, j : j + TILE, w])
+            x, y = np.nonzero(apart <= radius)
+            up = x + i < y + j
+            x, y = x[up], y[up]
+            found.append(np.stack([apart[x, y].astype(np.int64), order[x + i], order[y + j]]))
+    d, a, b = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    label = np.arange(len(fps))
+    keep: list[tuple[int, int]] = []
+    for distance in np.unique(d):
+        p, q = a[d == distance], b[d == distance]
+        apart = label[p] != label[q]
+        for u, v in zip(p[apart].tolist(), q[apart].tolist(), strict=True):
+            lo, hi = sorted((int(label[u]), int(label[v])))
+            if lo != hi:
+                label[label == hi] = lo
+                keep.append((u, v))
+    pairs = np.array(keep, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: candidates among classes (node, w0..w3) whose wide fingerprints are as near as texts of the similarity may be."""
+    share = expected_share(similarity)
+    radius = int(64 * WIDE * share + 2 * (64 * WIDE * share * (1 - share)) ** 0.5)
+    words = [f"w{i}" for i in range(WIDE)]
+    masks = wide_masks(similarity)
+    keyed = classes.select("node", *words, F.explode(F.array(*(F.struct(F.lit(t).alias("mask"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bucket")) for t, (w, m) in enumerate(masks)))).alias("k")).select("node", *words, "k.*")
+    sizes = common.materialize(keyed.groupBy("mask", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_ROWS), "hot-buckets")
+    one = F.lit(0)
+    if sizes.isEmpty():
+        tasks = keyed.select("mask", "bucket", one.alias("i"), one.alias("j"), "node", *words)
+    else:  # every two chunks of a large bucket meet in one task
+        own = F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
+        tasks = (
+            keyed.join(sizes, ["mask", "bucket"], "left")
+            .withColumn("c", F.coalesce(F.ceil(2 * F.col("n") / WIDE_ROWS).cast("int"), F.lit(1)))
+            .withColumn("own", own)
+            .select("mask", "bucket", "own", "node", *words, F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("with"))
+            .select("mask", "bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", *words)
+        )
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        key: tuple | None = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held)
+            if len(rows) > 1:
+                a, b = closest_links(rows[:, 1:].view(np.uint64), radius)
+                if len(a):
+                    x, y = rows[a, 0], rows[b, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
+            rows = np.stack(cols[4:], axis=1)
+            cuts = [*np.flatnonzero(new).tolist(), len(new)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                this = tuple(int(c[a]) for c in cols[:4])
+                if held and this != key:
+                    yield from close()
+                    held = []
+                key = this
+                held.append(rows[a:b])
+        if held:
+            yield from close()
+
+    names = ["mask", "bucket", "i", "j"]
+    return tasks.repartition(common.partitions(classes.sparkSession), *names).sortWithinPartitions(*names).mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """key, group (smallest key of the group): texts linked by a resemblance of word shingles of ``similarity`` or more.
+
+    Wide SimHash fingerprints find the candidates; each is then confirmed on the exact sets of its shingles.
+    Texts with equal fingerprints and equal shingles count as one. Null and empty texts are one group. ``key`` must tell the rows apart or be the same for rows to be treated as one.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    words = [f"w{i}" for i in range(WIDE)]
+
+    def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in common.slices(batches, "text"):
+            f = wide_fingerprints(found, width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(f[:, i]) for i in range(WIDE))], ["key", *words])
+
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    node = F.xxhash64(*words)
+    rows = common.materialize(named.mapInArrow(prints, "key " + kind + "".join(f", {w} bigint" for w in words)).withColumn("node", node), "wide-simhash")
+    classes = common.materialize(rows.groupBy("node", *words).agg(F.min("key").alias("least")), "wide-classes")
+    pairs = common.materialize(similar_pairs(classes.select("node", *words), similarity), "wide-pairs")
+
+    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in common.slices(batches, "text"):
+            hashes, base, live = shingle_hashes(found, width, 42)
+            sets: list = [[] for _ in found]
+            for i, own in zip(live.tolist(), np.split(hashes, base[1:]), strict=True) if live.size else ():
+                sets[i] = np.unique_values(own).view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least"), "node")
+    texts = named.join(asked.withColumnRenamed("least", "key"), "key").dropDuplicates(["node"]).select("node", "text")
+    sets = common.materialize(texts.mapInArrow(shingles, "node bigint, shingles array<bigint>"), "wide-shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    sure = both.withColumn("s", shared).where(F.col("s") >= similarity * (F.size("x") + F.size("y") - F.col("s"))).select("a", "b")
+    roots = common.materialize(components(sure), "wide-roots").withColumnRenamed("node", "_node")
+    by_root = classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    groups = by_root.groupBy("root").agg(F.min("least").alias("group"))
+    return rows.select("key", "node").join(by_root.select("node", "root").join(groups, "root").select("node", "group"), "node").select("key", "group")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without near-duplicates: of each group the row of the smallest (doc_id, hash of the text) stays. All columns are kept."""
     key = F.struct(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("hash"))
-    named = docs.select(key.alias("_key"), "text")
-    found = near_duplicates(named, width, radius, "_key", "text")
+    found = similar_groups(docs.select(key.alias("_key"), "text"), "_key", "text", width, similarity).select(F.col("key").alias("doc_id"), F.col("group").alias("component_id"))
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     return docs.withColumn("_key", key).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").select(*docs.columns)
 
