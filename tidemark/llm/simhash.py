@@ -234,7 +234,7 @@ def wide_fingerprints(found: list[bytes], width: int) -> np.ndarray:
     hashes, base, live = shingle_hashes(found, width, 42)
     if live.size:
         for w in range(WIDE):
-            out[live, w] = majority(hashes if not w else common.fmix(hashes + np.uint64(w) * common.GOLDEN), base)
+            out[live, w] = majority(hashes if not w else common.fmix(hashes + np.uint64(w * int(common.GOLDEN) % (1 << 64))), base)
     return out
 
 
