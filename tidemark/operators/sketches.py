@@ -73,9 +73,9 @@ def cms_frequency(keys: DataFrame, asked: DataFrame, epsilon: float, delta: floa
 def cms_bounds(keys: DataFrame, epsilon: float, delta: float) -> DataFrame:
     """key, exact, estimate, within (estimate at most exact + epsilon * total)."""
     exact = keys.groupBy("key").agg(F.count(F.lit(1)).alias("exact"))
-    total = keys.agg(F.count(F.lit(1)).alias("total"))
-    both = exact.join(cms_frequency(keys, exact.select("key"), epsilon, delta), "key").crossJoin(F.broadcast(total))  # one row
-    return both.select("key", "exact", "estimate", (F.col("estimate") <= F.col("exact") + epsilon * F.col("total")).alias("within"))
+    total = keys.count()
+    both = exact.join(cms_frequency(keys, exact.select("key"), epsilon, delta), "key")
+    return both.select("key", "exact", "estimate", (F.col("estimate") <= F.col("exact") + epsilon * total).alias("within"))
 
 
 def hll_registers(keys: DataFrame, precision: int, by: list[str] | None = None) -> DataFrame:
