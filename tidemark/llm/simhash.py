@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
 
 #: Words of 64 bits of a wide fingerprint, and the bits that two texts at the wanted similarity may well differ in.
 WIDE = 4
-#: Rows of a bucket of wide fingerprints that one task compares at most, and bits of a bucket's key.
-WIDE_ROWS, WIDE_BITS = 2048, 18
+#: Rows of a bucket of wide fingerprints that one task compares at most, and bits of a bucket's key at least.
+WIDE_ROWS, WIDE_BITS = 2048, 16
 
 
 def wide_fingerprints(found: list[bytes], width: int) -> np.ndarray:
@@ -243,11 +243,15 @@ def expected_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def wide_masks(similarity: float, miss: float = 0.01, seed: int = 5) -> list[tuple[int, int]]:
-    """(word, mask) of random bits: texts at the similarity agree under none of them with chance ``miss`` at most."""
-    agree = (1 - expected_share(similarity)) ** WIDE_BITS
+def wide_masks(rows: int, similarity: float, miss: float = 0.01, seed: int = 5) -> list[tuple[int, int]]:
+    """(word, mask) of random bits: texts at the similarity agree under none of them with chance ``miss`` at most.
+
+    A mask has so many bits that a bucket of unlike texts holds about a thousand at most.
+    """
+    bits = max(WIDE_BITS, (rows >> 10).bit_length())
+    agree = (1 - expected_share(similarity)) ** bits
     rng = np.random.default_rng(seed)
-    return [(t % WIDE, sum(1 << int(i) for i in rng.choice(64, WIDE_BITS, replace=False))) for t in range(int(np.ceil(np.log(miss) / np.log(1 - agree))))]
+    return [(t % WIDE, sum(1 << int(i) for i in rng.choice(64, bits, replace=False))) for t in range(int(np.ceil(np.log(miss) / np.log(1 - agree))))]
 
 
 def closest_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +294,7 @@ def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     share = expected_share(similarity)
     radius = int(64 * WIDE * share + 2 * (64 * WIDE * share * (1 - share)) ** 0.5)
     words = [f"w{i}" for i in range(WIDE)]
-    masks = wide_masks(similarity)
+    masks = wide_masks(classes.count(), similarity)
     keyed = classes.select("node", *words, F.explode(F.array(*(F.struct(F.lit(t).alias("mask"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bucket")) for t, (w, m) in enumerate(masks)))).alias("k")).select("node", *words, "k.*")
     sizes = common.materialize(keyed.groupBy("mask", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_ROWS), "hot-buckets")
     one = F.lit(0)
