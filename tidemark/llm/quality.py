@@ -30,7 +30,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class PuModel:
     """Linear model over sparse rows, fitted by AdaGrad on mixed batches."""
 
-    def __init__(self, bits: int = BITS, rate: float = 0.3, l2: float = 1e-6):
+    def __init__(self, bits: int = BITS, rate: float = 1.0, l2: float = 1e-6):
         self.w, self.g = np.zeros(1 << bits), np.full(1 << bits, 1e-2)
         self.b, self.bg, self.rate, self.l2 = 0.0, 1e-2, rate, l2
 
@@ -52,7 +52,7 @@ class PuModel:
         self.bg += gb * gb
         self.b -= self.rate * gb / self.bg**0.5
 
-    def fit(self, positive: list, unlabelled: list, prior: float, epochs: int = 6, batch: int = 128, seed: int = 11) -> None:
+    def fit(self, positive: list, unlabelled: list, prior: float, epochs: int = 8, batch: int = 128, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             order = rng.permutation(len(unlabelled))
@@ -67,6 +67,9 @@ class PuModel:
                     self.step(p + u, np.concatenate([-prior * _sigmoid(-fp) / len(p) - down_p, down_u]))
                 else:  # the part that can't be negative is: go back up along it
                     self.step(p + u, np.concatenate([down_p, -down_u]))
+        # The class prior also tells where to cut: that share of the unlabelled text is positive, and a
+        # twentieth of the rest is let through in doubt.
+        self.b -= float(np.quantile(self.margins(unlabelled), 0.95 * (1 - prior)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most_positive: int, most_unlabelled: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
