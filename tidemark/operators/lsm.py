@@ -218,7 +218,7 @@ ORACLES = {
       FROM (SELECT * FROM run WHERE gen = 19723) o FULL JOIN (SELECT * FROM run WHERE gen = 19724) n USING (key)
       WHERE NOT (o.ts IS NOT NULL AND coalesce(n.tombstone, false))""",
     "compact_kway": _RUNS + " SELECT key, arg_max(value, gen) AS value, arg_max(ts, gen) AS ts, max(gen) AS gen FROM run GROUP BY key HAVING NOT arg_max(tombstone, gen)",
-    "lsm_layered_get": _RUNS + """, d AS (SELECT max(dayofyear(ts))::INT AS d FROM ops),
+    "lsm_layered_get": _RUNS + """, d AS (SELECT max(date_diff('day', DATE '1970-01-01', ts::DATE))::INT AS d FROM ops),
       layers AS (SELECT key, CASE WHEN gen = d THEN 0 ELSE 1000000 * level - gen END AS layer, value, tombstone FROM run, d),
       found AS (SELECT key, min(layer) AS layer, arg_min(struct_pack(v := value), layer).v AS value, arg_min(tombstone, layer) AS tombstone FROM layers GROUP BY key)
       SELECT k.key, CASE WHEN layer IS NULL THEN 'MISSING' WHEN tombstone THEN 'DELETED' ELSE 'FOUND' END AS status, CASE WHEN NOT tombstone THEN value END AS value, layer
