@@ -27,9 +27,9 @@ def brute(rows):
     return out
 
 
-def check(spark, rows, parts=3):
+def check(spark, rows, parts=3, **how):
     df = spark.createDataFrame([(x, i, "e", 5) for i, x in rows], "text string, doc_id long, block string, kind int").repartition(parts)
-    got = dedup.repeated_spans(df, with_text=True).collect()
+    got = dedup.repeated_spans(df, with_text=True, **how).collect()
     for r in got:
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and sum(b - a for a, b in r["spans"]) == r["n_removed"] and len(r["spans"]) == r["n_spans"]
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3], r[4])
@@ -76,6 +76,8 @@ def test_long_text_and_hot_passage(spark):
     passage = words(rng, 40)
     rows = [(i, words(rng, 6) + passage + words(rng, 6)) for i in range(150)] + [(900, words(rng, 9000))]
     check(spark, rows, parts=6)
+    check(spark, rows, parts=6, hot_shards=2)
+    check(spark, rows[:40] + [(50, "z" * 500), (51, "z" * 300)], parts=4, hot_shards=1)
 
 
 @pytest.mark.parametrize("n", [0, 31, 68, 69, 70, 500])

@@ -12,7 +12,8 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier:
 4. Shards get their repeats back, remove what these cover and give the result.
 
 Inside a shard a passage that many documents share is sent once, so what meets in a bucket
-for one passage grows with the shards, not with the documents.
+for one passage grows with the shards, not with the documents; and the windows of an anchor that
+many shards hold are dealt to all buckets by their own content.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ LENGTH = 100
 GRAM = 32
 #: Text bytes of a shard.
 SHARD_BYTES = 2 << 20
+#: An anchor in more shards than these has its windows dealt one by one.
+HOT_SHARDS = 16_384
 ANCHORS, TEXTS, SEGMENTS, REPEATS, WHOLE = 0, 1, 2, 3, 4
 LAST = (1 << 63) - 1
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -132,8 +135,8 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, Shar
         yield namer.name(ids, shard.digest.tolist()), ids, shard
 
 
-def shared_anchors(docs: DataFrame, bits: int) -> DataFrame:
-    """Per shard: which of its anchors, by bucket, stand elsewhere too; which of its texts are the first of their kind."""
+def shared_anchors(docs: DataFrame, bits: int, hot_shards: int) -> DataFrame:
+    """Per shard: which of its anchors, by bucket, stand elsewhere too (1; 2: in more than ``hot_shards`` shards); which of its texts aren't the first of their kind."""
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, s in _shards(batches):
@@ -160,12 +163,13 @@ def shared_anchors(docs: DataFrame, bits: int) -> DataFrame:
             keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
             by = np.argsort(keys)
             s = keys[by]
-            tied = np.zeros(len(s), bool)
-            same = s[1:] == s[:-1]
-            tied[1:] |= same
-            tied[:-1] |= same
-            yes = np.concatenate([p[1] for p in parts]).astype(bool)
-            yes[by[tied]] = True
+            new = np.ones(len(s), bool)
+            new[1:] = s[1:] != s[:-1]
+            place = np.cumsum(new) - 1
+            shards = np.bincount(place)[place]
+            yes = np.concatenate([p[1] for p in parts]).astype(np.int64)
+            yes[by[shards > 1]] = 1
+            yes[by[shards > hot_shards]] = 2
             yield rows([(r[0], kind, at[1], squeeze(yes[a:b])) for r, a, b in zip(held, cuts[:-1], cuts[1:], strict=True)])
             return
         h1, h2, key = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -265,16 +269,16 @@ def candidates(docs: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
 
     def out(name: int, ids: pa.Array, s: Shard, messages: list[tuple]) -> Iterator[pa.RecordBatch]:
         s.anchors()
-        shared = np.zeros(len(s.keys), bool)
+        shared = np.zeros(len(s.keys), np.int64)
         cuts = bucket_cuts(s.keys, bits)
         again = ~s.first & s.long
         for _, kind, bucket, payload in messages:
             if kind == ANCHORS:
-                shared[cuts[bucket] : cuts[bucket + 1]] = stretch(payload).astype(bool)
+                shared[cuts[bucket] : cuts[bucket + 1]] = stretch(payload).astype(np.int64)
             else:
                 again[stretch(payload).astype(np.int64)] = True
-        keep = shared[s.place] & ~again[s.doc]
-        lo, hi, at, doc, h = (x[keep] for x in (s.lo, s.hi, s.at, s.doc, s.hash))
+        keep = (shared[s.place] > 0) & ~again[s.doc]
+        lo, hi, doc, h, hot = (x[keep] for x in (s.lo, s.hi, s.doc, s.hash, shared[s.place] > 1))
         repeats = local_repeats(s, lo, hi)
         yield rows([(name, TEXTS, 0, squeeze(np.flatnonzero(again))), _span_rows(name, REPEATS, *_spans(repeats))])
         # What is left of each run, as runs.
@@ -286,13 +290,19 @@ def candidates(docs: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
         starts, run = starts[left], run[left]
         if not len(starts):
             return
-        new = np.concatenate(([True], (np.diff(starts) != 1) | (np.diff(run) != 0)))
+        new = np.concatenate(([True], (np.diff(starts) != 1) | (np.diff(run) != 0) | hot[run[1:]]))
         f = np.flatnonzero(new)
         l = np.append(f[1:], len(starts)) - 1  # noqa: E741
         seg_lo, seg_hi, run = starts[f], starts[l], run[f]
-        by = np.argsort(h[run], kind="stable")
-        seg_lo, seg_hi, run = seg_lo[by], seg_hi[by], run[by]
-        cuts = bucket_cuts(h[run], bits)
+        # Runs go by their anchor; windows of a hot anchor go one by one, by their own content, so none of its buckets grows with it.
+        to = h[run]
+        single = np.flatnonzero(hot[run])
+        if single.size:
+            to = to.copy()
+            to[single] = window_keys(np.frombuffer(s.data, np.uint8), seg_lo[single])
+        by = np.argsort(to, kind="stable")
+        seg_lo, seg_hi, run, to = seg_lo[by], seg_hi[by], run[by], to[by]
+        cuts = bucket_cuts(to, bits)
         found = []
         for bucket in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(int(cuts[bucket]), int(cuts[bucket + 1]))
@@ -367,12 +377,12 @@ def merge_segments(at: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
     yield rows(out)
 
 
-def removed_bytes(docs: DataFrame, out: Callable[[pa.Array, list[tuple[bytes, np.ndarray, np.ndarray]]], pa.RecordBatch], schema: str) -> DataFrame:
+def removed_bytes(docs: DataFrame, out: Callable[[pa.Array, list[tuple[bytes, np.ndarray, np.ndarray]]], pa.RecordBatch], schema: str, hot_shards: int = HOT_SHARDS) -> DataFrame:
     """out(ids, [(text, span starts, span ends), ...]) of every shard, spans being what is to go of each document."""
     spark = docs.sparkSession
     common.tune(spark)
     bits = max(0, (4 * common.partitions(spark) - 1).bit_length())
-    answers = shared_anchors(docs, bits)
+    answers = shared_anchors(docs, bits, hot_shards)
     found = candidates(docs, answers, bits)
     n = common.partitions(spark)
     segments = found.where(F.col("kind") == SEGMENTS).repartition(n, "bucket").sortWithinPartitions("bucket", "block")
@@ -416,7 +426,7 @@ def _kept(text: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot_shards: int = HOT_SHARDS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the bytes that stay).
 
     spans: [start, end) byte offsets of the removed runs.
@@ -442,7 +452,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns.append(pa.array(kept, pa.binary()))
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: len(columns)])
 
-    return removed_bytes(d, out, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>" + ", kept binary" * with_text)
+    return removed_bytes(d, out, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>" + ", kept binary" * with_text, hot_shards)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
