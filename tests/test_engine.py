@@ -222,3 +222,18 @@ def test_registry_is_consistent():
 def test_records_equal_zlib(spark):
     rows = QUERIES["wal_record_crc"](spark, SF).join(spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id seq", "props"), "seq").collect()
     assert rows and all(r["crc"] == zlib.crc32(r["props"].encode()) and r["bytes"] == 29 + r["key_size"] + r["value_size"] for r in rows)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path, log):
+    p = plan(QUERIES["kv_get"](spark, SF))
+    assert "EqualTo(user_id,7)" in p and "value" not in p.split("ReadSchema:")[1].split("\n")[0]
+    assert oplog.read_events(spark, SF, "x").count() == 0 and oplog.read_events(spark, SF, "07").count() == 0
+    oplog.append(log, str(tmp_path / "log"))
+    p = plan(kv.get(oplog.read(spark, str(tmp_path / "log")), "kljuc02"))
+    assert "EqualTo(key,kljuc02)" in p and "category" not in p.split("ReadSchema:")[1].split("\n")[0]
+    p = plan(kv.overwrites(oplog.read(spark, str(tmp_path / "log"))))
+    assert "EqualTo(op,put)" in p and "partial_count" in p

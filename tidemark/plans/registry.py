@@ -61,7 +61,7 @@ _CMS = (CONFIG.cms_epsilon, CONFIG.cms_delta)
 
 QUERIES = {
     "kv_snapshot": lambda s, d: kv.snapshot(_ops(s, d)),
-    "kv_get": lambda s, d: kv.get(_ops(s, d), "7"),
+    "kv_get": lambda s, d: kv.get(read_events(s, d, "7"), "7"),
     "kv_multi_get_status": lambda s, d: kv.multi_get(_ops(s, d), _asked(s, d)),
     "kv_delete_effects": lambda s, d: kv.delete_effects(_ops(s, d)),
     "kv_tombstones": lambda s, d: kv.tombstones(_ops(s, d)),

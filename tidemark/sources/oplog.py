@@ -22,8 +22,13 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def read_events(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+    """The events as a log; with a key only that key's, by a filter on the stored number that Parquet can skip row groups by."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if key is not None:
+        number = int(key) if key.lstrip("-").isdigit() and str(int(key)) == key else None
+        events = events.where(F.lit(False) if number is None else F.col("user_id") == number)
+    return from_events(events)
 
 
 def append(ops: DataFrame, path: str) -> None:
