@@ -80,6 +80,18 @@ def test_mixing_edges(spark):
     assert mixing.mix_sources(make(spark, [])).count() == 0
     rows = mixing.mix_sources(make(spark, [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "a b", "en", "a", 3), (1, "a b", "en", "a", 3)])).collect()
     assert len(rows) == 4 and sum(r["taken"] for r in rows) == 6
+    odd = make(spark, [(1, "a b c", "en", "s", 5), (2, "d", "en", "t", 1)]).selectExpr("*", "7 AS size", "'k' AS key", "3 AS bucket", "1 AS epochs", "'h' AS text_hash", "2 AS place")
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_sources(odd).collect()} == {1: 3, 2: 1}
+    assert mixing.mixed(odd).columns == odd.columns
+
+
+def test_stages_take_odd_rows(spark):
+    rows = [(None, None, None, None, None), (None, "x y", None, None, 3), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "word " * 20000, "en", "a", 100000), (3, " \n\t", "en", None, 3)]
+    for _, stage in corpus_pipeline.STAGES:
+        for docs in (make(spark, rows), make(spark, [])):
+            found = stage(spark, docs, SF)
+            assert found.columns == docs.columns or "sequence_id" in found.columns
+            assert found.count() > 0 or not docs.take(1)
 
 
 def test_pipeline_runs_whole(spark):
