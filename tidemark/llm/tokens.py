@@ -36,7 +36,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.most = most
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)")
         # None marks a piece that its neighbours may change.
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
@@ -68,9 +69,10 @@ class Encoder:
             else:
                 new.append(w)
         odd, plain, made, seen = [], [], [], set()
+        special = self.special.search
         for w in new:
             core = w.rstrip(string.punctuation)
-            if len(core) < len(w) and core and core[-1].isalpha() and core[-1] < "\u2000" and not any(x in w for x in self.special):
+            if len(core) < len(w) and core and core[-1].isalpha() and core[-1] < "\u2000" and not special(w):
                 made.append((w, core, w[len(core) :]))
             else:
                 core = w
