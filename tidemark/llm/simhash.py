@@ -273,12 +273,15 @@ def closest_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
             x, y = np.nonzero(apart <= radius)
             up = x + i < y + j
             x, y = x[up], y[up]
-            found.append(np.stack([apart[x, y].astype(np.int64), order[x + i], order[y + j]]))
-    d, a, b = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            found.append((apart[x, y].astype(np.uint16), order[x + i].astype(np.int32), order[y + j].astype(np.int32)))
+    d, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(d, kind="stable")
+    d, a, b = d[by], a[by], b[by]
+    edges = np.searchsorted(d, np.arange(radius + 2))
     label = np.arange(len(fps))
     keep: list[tuple[int, int]] = []
-    for distance in np.unique(d):
-        p, q = a[d == distance], b[d == distance]
+    for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # one distance after another
+        p, q = a[start:end], b[start:end]
         apart = label[p] != label[q]
         for u, v in zip(p[apart].tolist(), q[apart].tolist(), strict=True):
             lo, hi = sorted((int(label[u]), int(label[v])))

@@ -63,7 +63,7 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = 4) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], ["h", "y", "features"])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(f, "<u4").astype(np.int64), y) for b in batches for y, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        rows = [(np.frombuffer(f, "<u4"), y) for b in batches for y, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         if not rows:
             return
         model = Ftrl(bits)
