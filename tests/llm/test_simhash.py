@@ -160,3 +160,15 @@ def test_similar_groups_follow_exact_resemblance(spark, monkeypatch, rows):
                 lo, hi = sorted((label[i], label[j]))
                 label = [lo if x == hi else x for x in label]
     assert got == dict(enumerate(label))
+
+
+def groups_of(spark, texts):
+    rows = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").collect()
+    return [g for _, g in sorted((r["key"], r["group"]) for r in rows)]
+
+
+def test_copies_that_repeat_a_line_more_often_are_near(spark):
+    body = " ".join(f"w{i}" for i in range(300))
+    line = " ".join(f"r{i}" for i in range(14))
+    texts = [f"{body} {line}"] + [" ".join([body, *[line] * n]) for n in (8, 30)]
+    assert groups_of(spark, texts) == [0, 0, 0]

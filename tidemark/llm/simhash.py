@@ -44,6 +44,17 @@ def shingle_hashes(found: list[bytes], width: int, seed: int) -> tuple[np.ndarra
     return np.fromiter((digest(data[a:b], seed) for a, b in zip(starts[at].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(at)), base, live
 
 
+def shingle_sets(found: list[bytes], width: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of texts that have words, rising in each text: (hashes, first hash of each text, the texts)."""
+    hashes, base, live = shingle_hashes(found, width, seed)
+    owner = np.repeat(np.arange(len(base)), np.diff(base, append=len(hashes)))
+    order = np.lexsort((hashes, owner))
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(base))), live
+
+
 #: The bits of a byte, each in a byte of its own, lowest first.
 LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -229,9 +240,9 @@ WIDE_ROWS, WIDE_BITS = 2048, 16
 
 
 def wide_fingerprints(found: list[bytes], width: int) -> np.ndarray:
-    """(text, word): ``WIDE`` words of SimHash; the further ones take mixed hashes."""
+    """(text, word): ``WIDE`` words of SimHash of the distinct shingles; the further ones take mixed hashes."""
     out = np.zeros((len(found), WIDE), np.uint64)
-    hashes, base, live = shingle_hashes(found, width, 42)
+    hashes, base, live = shingle_sets(found, width)
     if live.size:
         for w in range(WIDE):
             out[live, w] = majority(hashes if not w else common.fmix(hashes + np.uint64(w * int(common.GOLDEN) % (1 << 64))), base)
