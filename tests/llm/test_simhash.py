@@ -172,3 +172,10 @@ def test_copies_that_repeat_a_line_more_often_are_near(spark):
     line = " ".join(f"r{i}" for i in range(14))
     texts = [f"{body} {line}"] + [" ".join([body, *[line] * n]) for n in (8, 30)]
     assert groups_of(spark, texts) == [0, 0, 0]
+
+
+def test_texts_of_one_fingerprint_and_other_shingles_stay_apart(spark):
+    one, two = ("same " * 3000 + " ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    line = "the quick brown fox jumps over a lazy dog " * 1000
+    three, four = (line + " ".join(f"{x}{i}" for i in range(800)) for x in "cd")
+    assert groups_of(spark, [one, two, three, four, one + " b0", three]) == [0, 1, 2, 3, 0, 2]

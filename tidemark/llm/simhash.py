@@ -55,6 +55,16 @@ def shingle_sets(found: list[bytes], width: int, seed: int = 42) -> tuple[np.nda
     return hashes[new], np.searchsorted(owner[new], np.arange(len(base))), live
 
 
+def set_hashes(found: list[bytes], width: int) -> np.ndarray:
+    """A hash of each text's set of shingles; the same for all texts without words."""
+    out = np.full(len(found), xxhash.xxh64_intdigest(b""), np.uint64)
+    hashes, base, live = shingle_sets(found, width)
+    ends = np.append(base, len(hashes))
+    for i, a, b in zip(live.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out[i] = xxhash.xxh64_intdigest(hashes[a:b])
+    return out
+
+
 #: The bits of a byte, each in a byte of its own, lowest first.
 LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -362,7 +372,7 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5
     """key, group (smallest key of the group): texts linked by a resemblance of word shingles of ``similarity`` or more.
 
     Wide SimHash fingerprints find the candidates; each is then confirmed on the exact sets of its shingles.
-    Texts with equal fingerprints and equal shingles count as one. Null and empty texts are one group. ``key`` must tell the rows apart or be the same for rows to be treated as one.
+    Texts with equal sets of shingles count as one. Null and empty texts are one group. ``key`` must tell the rows apart or be the same for rows to be treated as one.
     """
     kind = docs.schema[key].dataType.simpleString()
     words = [f"w{i}" for i in range(WIDE)]
@@ -370,11 +380,10 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in common.slices(batches, "text"):
             f = wide_fingerprints(found, width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(f[:, i]) for i in range(WIDE))], ["key", *words])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_hashes(found, width).view(np.int64)), *(pa.array(f[:, i]) for i in range(WIDE))], ["key", "node", *words])
 
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    node = F.xxhash64(*words)
-    rows = common.materialize(named.mapInArrow(prints, "key " + kind + "".join(f", {w} bigint" for w in words)).withColumn("node", node), "wide-simhash")
+    rows = common.materialize(named.mapInArrow(prints, "key " + kind + ", node bigint" + "".join(f", {w} bigint" for w in words)), "wide-simhash")
     classes = common.materialize(rows.groupBy("node", *words).agg(F.min("key").alias("least")), "wide-classes")
     pairs = common.materialize(similar_pairs(classes.select("node", *words), similarity), "wide-pairs")
 
