@@ -179,3 +179,44 @@ def test_texts_of_one_fingerprint_and_other_shingles_stay_apart(spark):
     line = "the quick brown fox jumps over a lazy dog " * 1000
     three, four = (line + " ".join(f"{x}{i}" for i in range(800)) for x in "cd")
     assert groups_of(spark, [one, two, three, four, one + " b0", three]) == [0, 1, 2, 3, 0, 2]
+
+
+def brute_groups(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (x.split() for x in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return label
+
+
+def test_links_that_a_forest_of_closer_candidates_leaves_out_count(spark):
+    rng = np.random.default_rng(30)
+    texts = []
+    for g in range(20):
+        for k in [40, 40, *[41] * 10]:
+            w = [f"g{g}w{i}" for i in range(400)]
+            w[100 : 100 + k] = [f"x{rng.integers(0, 10**9)}" for _ in range(k)]
+            texts.append(" ".join(w))
+    want = [12 * g + (k if k != 1 else 0) for g in range(20) for k in range(12)]
+    assert brute_groups(texts) == want
+    assert groups_of(spark, texts) == want
+
+
+@pytest.mark.parametrize("rows", [2048, 6])
+def test_dense_groups_near_the_threshold_lose_no_link(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "WIDE_ROWS", rows)
+    rng = np.random.default_rng(21)
+    texts = []
+    for g in range(30):
+        for _ in range(12):
+            w = [f"g{g}w{k}" for k in range(200)]
+            at = int(rng.integers(0, 200))
+            for k in range(at, at + int(rng.integers(14, 28))):
+                w[k % 200] = f"x{rng.integers(0, 10**9)}"
+            texts.append(" ".join(w))
+    want = brute_groups(texts)
+    assert 30 < len(set(want)) < len(texts)
+    assert groups_of(spark, texts) == want

@@ -247,6 +247,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
 WIDE = 4
 #: Rows of a bucket of wide fingerprints that one task compares at most, and bits of a bucket's key at least.
 WIDE_ROWS, WIDE_BITS = 2048, 16
+#: Shingles that one task holds when it compares whole sets, and columns of a block of the table of texts and shingles.
+WIDE_SHINGLES, COLUMNS = 1 << 21, 4096
 
 
 def wide_fingerprints(found: list[bytes], width: int) -> np.ndarray:
@@ -313,6 +315,41 @@ def closest_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return pairs[:, 0], pairs[:, 1]
 
 
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of sorted rows that are equal in the first columns, across batches: (key, rows)."""
+    held: list[pa.RecordBatch] = []
+    key: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns[:keys]]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        cuts = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            this = tuple(int(c[a]) for c in cols)
+            if held and this != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = this
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def in_chunks(rows: DataFrame, key: str, chunks: F.Column, *columns: str) -> DataFrame:
+    """key, i, j and columns: every two chunks of a key's rows meet under an (i, j) of their own; rows are dealt by ``node``."""
+    own = F.pmod(F.xxhash64("node"), F.col("_c")).cast("int")
+    dealt = rows.withColumn("_c", chunks.cast("int")).withColumn("_own", own).select(key, "_own", *columns, F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("_with"))
+    dealt = dealt.select(key, F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j"), *columns)
+    return dealt.repartition(common.partitions(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def ordered_pairs(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    x, y = nodes[a], nodes[b]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
 def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     """a, b: candidates among classes (node, w0..w3) whose wide fingerprints are as near as texts of the similarity may be."""
     share = expected_share(similarity)
@@ -368,6 +405,60 @@ def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     return tasks.repartition(common.partitions(classes.sparkSession), *names).sortWithinPartitions(*names).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def confirmed_links(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b) of the links between sets of different labels whose resemblance reaches the similarity; compares all pairs."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)
+    column, owner = place[column], np.repeat(np.arange(len(sets)), sizes)
+    column, owner = column[column >= 0], owner[column >= 0]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    _, group, members = np.unique(label, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(group != members.argmax())  # the largest group needs no comparison inside
+    shared = np.zeros((len(rest), len(sets)))
+    for start in range(0, int((times > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - start] = 1
+        shared += has[rest] @ has.T
+    x, y = np.nonzero(shared >= similarity * (sizes[rest, None] + sizes[None, :] - shared))
+    x = rest[x]
+    keep: list[tuple[int, int]] = []
+    apart = group[x] != group[y]
+    for u, v in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+        if group[u] != group[v]:
+            group[group == group[v]] = group[u]
+            keep.append((u, v))
+    pairs = np.array(keep, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def links_left(pairs: DataFrame, sure: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links at the similarity between groups of ``sure`` links that candidate ``pairs`` connect.
+
+    ``pairs`` are a forest, so where some of them failed, links that the forest left out may hold. All members of what it
+    connects are compared then, but those already linked. Two members have no link left out.
+    """
+    held = common.materialize(components(pairs).withColumnRenamed("root", "part").join(components(sure).withColumnRenamed("root", "own"), "node", "left").select("node", "part", F.coalesce("own", "node").alias("own")), "wide-parts")
+    open_parts = held.groupBy("part").agg(F.count(F.lit(1)).alias("size"), (F.min("own") < F.max("own")).alias("open")).where("open AND size > 2").select("part", "size")
+    rows = held.join(open_parts, "part").join(sets, "node")
+    total = rows.groupBy("part").agg(F.sum(F.size("shingles")).alias("total"))
+    few = F.when((F.col("size") <= WIDE_ROWS) & (F.col("total") <= WIDE_SHINGLES), 1).otherwise(F.ceil(F.greatest(2 * F.col("size") / WIDE_ROWS, 2 * F.col("total") / WIDE_SHINGLES)))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in runs(batches, 3):
+            label = found.column("own").to_numpy()
+            if (label != label[0]).any():
+                column = found.column("shingles").combine_chunks()
+                ends = column.offsets.to_numpy()
+                a, b = confirmed_links(np.split(column.values.to_numpy()[ends[0] : ends[-1]], ends[1:-1] - ends[0]), label, similarity)
+                if len(a):
+                    yield ordered_pairs(found.column("node").to_numpy(), a, b)
+
+    return in_chunks(rows.join(total, "part"), "part", few, "node", "own", "shingles").mapInArrow(compare, "a bigint, b bigint")
+
+
 def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """key, group (smallest key of the group): texts linked by a resemblance of word shingles of ``similarity`` or more.
 
@@ -400,7 +491,8 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5
     sets = common.materialize(texts.mapInArrow(shingles, "node bigint, shingles array<bigint>"), "wide-shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    sure = both.withColumn("s", shared).where(F.col("s") >= similarity * (F.size("x") + F.size("y") - F.col("s"))).select("a", "b")
+    sure = common.materialize(both.withColumn("s", shared).where(F.col("s") >= similarity * (F.size("x") + F.size("y") - F.col("s"))).select("a", "b"), "wide-sure")
+    sure = sure.unionByName(common.materialize(links_left(pairs, sure, sets, similarity), "wide-left"))
     roots = common.materialize(components(sure), "wide-roots").withColumnRenamed("node", "_node")
     by_root = classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     groups = by_root.groupBy("root").agg(F.min("least").alias("group"))
