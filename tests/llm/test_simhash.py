@@ -220,3 +220,36 @@ def test_dense_groups_near_the_threshold_lose_no_link(spark, monkeypatch, rows):
     want = brute_groups(texts)
     assert 30 < len(set(want)) < len(texts)
     assert groups_of(spark, texts) == want
+
+
+def test_pairs_at_the_threshold_and_short_texts_are_all_found(spark):
+    texts = []
+    for g in range(400):
+        common = [f"g{g}w{k}" for k in range(84)]
+        texts += [" ".join([*common, *(f"a{g}x{k}" for k in range(10))]), " ".join([*common, *(f"b{g}y{k}" for k in range(10))])]
+    for g in range(200):
+        short = [f"s{g}w{k}" for k in range(8)]
+        texts += [" ".join(short), " ".join([*short, "end"]), " ".join(["front", *short, "x"])]
+    texts.append("the same line in all of them")
+    want = [i // 2 * 2 for i in range(800)] + [800 + i // 3 * 3 + (i % 3 == 2) * 2 for i in range(600)] + [1400]
+    assert groups_of(spark, texts) == want
+
+
+@pytest.mark.parametrize("hot", [0, 40])
+def test_filters_on_sets_miss_nothing(hot):
+    rng = np.random.default_rng(8)
+    frequent = np.sort(rng.integers(0, 2**64, hot, dtype=np.uint64))
+    for n in [*range(1, 40), 300, 3000]:
+        most = n // 9 if n > 8 else n // 5
+        for _ in range(5):
+            x = np.unique(np.concatenate([rng.integers(0, 2**64, n, dtype=np.uint64), frequent]))
+            y = np.unique(np.concatenate([x[most:], rng.integers(0, 2**64, most, dtype=np.uint64)]))
+            same = len(np.intersect1d(x, y))
+            if same < 0.8 * (len(x) + len(y) - same):
+                continue
+            base = np.array([0, len(x)])
+            rare, need = simhash.rare_first(np.concatenate([x, y]), base, 0.8, frequent, np.full(hot, 9))
+            assert set(rare[: need[0]].tolist()) & set(rare[need[0] :].tolist())
+            bits = simhash.parity_bits(np.concatenate([x, y]), base)
+            assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(x) + len(y) - 2 * same
+            assert len(simhash.closest_links(bits, 64 * simhash.WIDE, np.array([len(x), len(y)]), 0.8)[0]) == 1

@@ -55,10 +55,9 @@ def shingle_sets(found: list[bytes], width: int, seed: int = 42) -> tuple[np.nda
     return hashes[new], np.searchsorted(owner[new], np.arange(len(base))), live
 
 
-def set_hashes(found: list[bytes], width: int) -> np.ndarray:
-    """A hash of each text's set of shingles; the same for all texts without words."""
-    out = np.full(len(found), xxhash.xxh64_intdigest(b""), np.uint64)
-    hashes, base, live = shingle_sets(found, width)
+def set_hashes(count: int, hashes: np.ndarray, base: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """A hash of each of the ``count`` texts' set of shingles; the same for all texts without words."""
+    out = np.full(count, xxhash.xxh64_intdigest(b""), np.uint64)
     ends = np.append(base, len(hashes))
     for i, a, b in zip(live.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         out[i] = xxhash.xxh64_intdigest(hashes[a:b])
@@ -243,43 +242,63 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Words of 64 bits of a wide fingerprint, and the bits that two texts at the wanted similarity may well differ in.
-WIDE = 4
-#: Rows of a bucket of wide fingerprints that one task compares at most, and bits of a bucket's key at least.
-WIDE_ROWS, WIDE_BITS = 2048, 16
-#: Shingles that one task holds when it compares whole sets, and columns of a block of the table of texts and shingles.
-WIDE_SHINGLES, COLUMNS = 1 << 21, 4096
+#: Words of 64 bits of a text's parity bits, and the width of a row of candidates.
+WIDE = 16
+#: Rows that one task compares at most in a bucket, and shingles that it holds when it compares whole sets.
+WIDE_ROWS, WIDE_SHINGLES = 2048, 1 << 21
+#: Documents of the sample that tells frequent shingles from rare ones, and how often a frequent one stands in it.
+SAMPLE, FREQUENT = 20_000, 8
+#: Columns of a block of the table of texts and shingles.
+COLUMNS = 4096
 
 
-def wide_fingerprints(found: list[bytes], width: int) -> np.ndarray:
-    """(text, word): ``WIDE`` words of SimHash of the distinct shingles; the further ones take mixed hashes."""
-    out = np.zeros((len(found), WIDE), np.uint64)
-    hashes, base, live = shingle_sets(found, width)
-    if live.size:
-        for w in range(WIDE):
-            out[live, w] = majority(hashes if not w else common.fmix(hashes + np.uint64(w * int(common.GOLDEN) % (1 << 64))), base)
-    return out
-
+def parity_bits(hashes: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """(text, word): bit i tells whether an odd number of the text's shingles have hashes that start with i.
 
-def expected_share(similarity: float) -> float:
-    """Share of bits in which texts of that resemblance (Jaccard) differ: the angle between their shingle vectors over pi."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    Two texts differ in no more bits than the shingles that one of them only has.
+    """
+    bits = 64 * WIDE
+    owner = np.repeat(np.arange(len(base)), np.diff(base, append=len(hashes)))
+    at = owner * bits + (hashes >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(base) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(-1, WIDE)
 
 
-def wide_masks(rows: int, similarity: float, miss: float = 0.01, seed: int = 5) -> list[tuple[int, int]]:
-    """(word, mask) of random bits: texts at the similarity agree under none of them with chance ``miss`` at most.
+def rare_first(hashes: np.ndarray, base: np.ndarray, similarity: float, frequent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of each text): each text's rarest shingles, so many that texts at the similarity share one.
 
-    A mask has so many bits that a bucket of unlike texts holds about a thousand at most.
+    Rare by the times of the ``frequent`` hashes (rising), then by hash. What stands in a sample only sets an order, so it loses no pair.
     """
-    bits = max(WIDE_BITS, (rows >> 10).bit_length())
-    agree = (1 - expected_share(similarity)) ** bits
-    rng = np.random.default_rng(seed)
-    return [(t % WIDE, sum(1 << int(i) for i in rng.choice(64, bits, replace=False))) for t in range(int(np.ceil(np.log(miss) / np.log(1 - agree))))]
-
-
-def closest_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(base, append=len(hashes))
+    owner = np.repeat(np.arange(len(base)), sizes)
+    level = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        level = np.where(frequent[at] == hashes, times[at], 0)
+    order = np.lexsort((level, owner))
+    need = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
+    place = np.arange(len(hashes)) - np.repeat(base, sizes)
+    return hashes[order][place < np.repeat(need, sizes)], need
+
+
+def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, times) of the shingles that stand in many texts of a sample of ``docs`` (text)."""
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in common.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(found, width)[0].view(np.int64))], ["shingle"])
+
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    found = docs.sample(share, 11).select("text").mapInArrow(count, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    rows = found.orderBy(F.desc("n"), "shingle").limit(100_000).toArrow()
+    hashes, times = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
+
+
+def closest_links(fps: np.ndarray, radius: int, sizes: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """A forest (a, b) of the links within ``radius`` among rows of words, shortest links first.
 
+    With ``sizes`` of the sets whose parity bits the rows are, only links that sets of the similarity may have count.
     So for every distance the forest's links up to it connect what all links up to it connect.
     """
     ones = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
@@ -295,12 +314,15 @@ def closest_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
                 apart += np.bitwise_count(f[i : i + TILE, None, w] ^ f[None, j : j + TILE, w])
             x, y = np.nonzero(apart <= radius)
             up = x + i < y + j
+            if sizes is not None:
+                p, q = sizes[order[x + i]], sizes[order[y + j]]
+                up &= (apart[x, y] * (1 + similarity) <= (1 - similarity) * (p + q) + 1e-6) & (np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-6)
             x, y = x[up], y[up]
             found.append((apart[x, y].astype(np.uint16), order[x + i].astype(np.int32), order[y + j].astype(np.int32)))
     d, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     by = np.argsort(d, kind="stable")
     d, a, b = d[by], a[by], b[by]
-    edges = np.searchsorted(d, np.arange(radius + 2))
+    edges = np.append(np.flatnonzero(np.diff(d, prepend=radius + 1)), len(d))
     label = np.arange(len(fps))
     keep: list[tuple[int, int]] = []
     for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # one distance after another
@@ -351,58 +373,26 @@ def ordered_pairs(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordB
 
 
 def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: candidates among classes (node, w0..w3) whose wide fingerprints are as near as texts of the similarity may be."""
-    share = expected_share(similarity)
-    radius = int(64 * WIDE * share + 2 * (64 * WIDE * share * (1 - share)) ** 0.5)
-    words = [f"w{i}" for i in range(WIDE)]
-    masks = wide_masks(classes.count(), similarity)
-    keyed = classes.select("node", *words, F.explode(F.array(*(F.struct(F.lit(t).alias("mask"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bucket")) for t, (w, m) in enumerate(masks)))).alias("k")).select("node", *words, "k.*")
-    sizes = common.materialize(keyed.groupBy("mask", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_ROWS), "hot-buckets")
-    one = F.lit(0)
-    if sizes.isEmpty():
-        tasks = keyed.select("mask", "bucket", one.alias("i"), one.alias("j"), "node", *words)
-    else:  # every two chunks of a large bucket meet in one task
-        own = F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
-        tasks = (
-            keyed.join(sizes, ["mask", "bucket"], "left")
-            .withColumn("c", F.coalesce(F.ceil(2 * F.col("n") / WIDE_ROWS).cast("int"), F.lit(1)))
-            .withColumn("own", own)
-            .select("mask", "bucket", "own", "node", *words, F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("with"))
-            .select("mask", "bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", *words)
-        )
+    """a, b: links that connect all candidates among classes (node, n, bits, rare).
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        key: tuple | None = None
+    Sets at the similarity share one of their rarest shingles, are of like size and have like parity bits, so no pair is missed.
+    Of the shingles that the same classes hold one is enough.
+    """
+    keyed = classes.select("node", F.explode("rare").alias("bucket"))
+    held = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("size > 1")
+    sizes = common.materialize(held.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "wide-buckets")
+    shared = keyed.join(sizes, "bucket").join(classes.select("node", "n", "bits"), "node")
+    few = F.when(F.col("size") <= WIDE_ROWS, 1).otherwise(F.ceil(2 * F.col("size") / WIDE_ROWS))
 
-        def close() -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate(held)
-            if len(rows) > 1:
-                a, b = closest_links(rows[:, 1:].view(np.uint64), radius)
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, 3):
+            if rows.num_rows > 1:
+                bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, WIDE)
+                a, b = closest_links(bits, 64 * WIDE, rows.column("n").to_numpy(), similarity)
                 if len(a):
-                    x, y = rows[a, 0], rows[b, 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    yield ordered_pairs(rows.column("node").to_numpy(), a, b)
 
-        for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            if not len(cols[0]):
-                continue
-            new = np.ones(len(cols[0]), bool)
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
-            rows = np.stack(cols[4:], axis=1)
-            cuts = [*np.flatnonzero(new).tolist(), len(new)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                this = tuple(int(c[a]) for c in cols[:4])
-                if held and this != key:
-                    yield from close()
-                    held = []
-                key = this
-                held.append(rows[a:b])
-        if held:
-            yield from close()
-
-    names = ["mask", "bucket", "i", "j"]
-    return tasks.repartition(common.partitions(classes.sparkSession), *names).sortWithinPartitions(*names).mapInArrow(compare, "a bigint, b bigint").distinct()
+    return in_chunks(shared, "bucket", few, "node", "n", "bits").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def confirmed_links(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -462,28 +452,34 @@ def links_left(pairs: DataFrame, sure: DataFrame, sets: DataFrame, similarity: f
 def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """key, group (smallest key of the group): texts linked by a resemblance of word shingles of ``similarity`` or more.
 
-    Wide SimHash fingerprints find the candidates; each is then confirmed on the exact sets of its shingles.
+    Filters on the sets of shingles, which miss no pair, find the candidates; each is then confirmed on the exact sets.
     Texts with equal sets of shingles count as one. Null and empty texts are one group. ``key`` must tell the rows apart or be the same for rows to be treated as one.
     """
     kind = docs.schema[key].dataType.simpleString()
-    words = [f"w{i}" for i in range(WIDE)]
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    frequent, times = frequent_shingles(named, width)
 
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in common.slices(batches, "text"):
-            f = wide_fingerprints(found, width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_hashes(found, width).view(np.int64)), *(pa.array(f[:, i]) for i in range(WIDE))], ["key", "node", *words])
-
-    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = common.materialize(named.mapInArrow(prints, "key " + kind + ", node bigint" + "".join(f", {w} bigint" for w in words)), "wide-simhash")
-    classes = common.materialize(rows.groupBy("node", *words).agg(F.min("key").alias("least")), "wide-classes")
-    pairs = common.materialize(similar_pairs(classes.select("node", *words), similarity), "wide-pairs")
+            hashes, base, live = shingle_sets(found, width)
+            count, rare, bits = np.zeros(len(found), np.int64), [[]] * len(found), [b""] * len(found)
+            if live.size:
+                first, need = rare_first(hashes, base, similarity, frequent, times)
+                count[live] = np.diff(base, append=len(hashes))
+                for i, own, row in zip(live.tolist(), np.split(first.view(np.int64), np.cumsum(need)[:-1]), parity_bits(hashes, base), strict=True):
+                    rare[i], bits[i] = own, row.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_hashes(len(found), hashes, base, live).view(np.int64)), pa.array(count), pa.array(bits, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["key", "node", "n", "bits", "rare"])
+
+    rows = common.materialize(named.mapInArrow(prints, f"key {kind}, node bigint, n bigint, bits binary, rare array<bigint>"), "wide-rows")
+    classes = common.materialize(rows.groupBy("node").agg(F.min("key").alias("least"), *(F.any_value(c).alias(c) for c in ("n", "bits", "rare"))), "wide-classes")
+    pairs = common.materialize(similar_pairs(classes, similarity), "wide-pairs")
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in common.slices(batches, "text"):
-            hashes, base, live = shingle_hashes(found, width, 42)
+            hashes, base, live = shingle_sets(found, width)
             sets: list = [[] for _ in found]
-            for i, own in zip(live.tolist(), np.split(hashes, base[1:]), strict=True) if live.size else ():
-                sets[i] = np.unique_values(own).view(np.int64).tolist()
+            for i, own in zip(live.tolist(), np.split(hashes.view(np.int64), base[1:]), strict=True) if live.size else ():
+                sets[i] = own
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least"), "node")
