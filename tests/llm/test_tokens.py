@@ -87,3 +87,12 @@ def test_empty_table(spark):
     none = docs(spark, ["x"]).limit(0)
     assert packing.pack(none).count() == 0
     assert wavelet.read_token_files(wavelet.write_token_files(none)).count() == 0
+
+
+def test_token_files_keep_null_ids(spark, plain):
+    rows = [(5, "a b"), (None, "null one"), (-(2**62), "c"), (2**62 + 1, "d"), (None, None), (2**62 + 2, "e")]
+    shards = wavelet.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), shard_tokens=3)
+    got = sorted(wavelet.read_token_files(shards, with_ids=True).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, -(2**62), 5, 2**62 + 1, 2**62 + 2]
+    want = sorted((str(i), np.array(plain(x) + [2], "<u4").tobytes()) for i, x in rows)
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == want

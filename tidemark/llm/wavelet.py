@@ -6,8 +6,8 @@ every block a plane answers rank and select, and from these follow the id at a p
 the count of an id in a range and the place of its k-th occurrence, without decoding.
 
 File format (one row of the shard table, ``blob``), little-endian:
-magic ``TMW1``, then a zstd frame of: u32 bits, u64 tokens, u64 documents, i64 document
-ids, u32 document lengths, u64 zeros per plane, and per plane its packed bits (first bit
+magic ``TMW2``, then a zstd frame of: u32 bits, u64 tokens, u64 documents, i64 document
+ids (0 for null), a bit per document that tells whether its id is known (first bit highest), u32 document lengths, u64 zeros per plane, and per plane its packed bits (first bit
 highest) and u32 counts of ones before each block of 512 bits.
 """
 
@@ -27,7 +27,7 @@ from . import common
 from .tokens import encoder
 
 BLOCK = 512
-MAGIC = b"TMW1"
+MAGIC = b"TMW2"
 ONES = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.uint8)
 
 
@@ -135,22 +135,25 @@ class WaveletMatrix:
         return a
 
 
-def write_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
+def write_shard(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
     matrix = WaveletMatrix.build(ids, bits)
-    head = struct.pack("<IQQ", bits, len(ids), len(doc_ids)) + doc_ids.astype("<i8").tobytes() + lengths.astype("<u4").tobytes()
+    head = struct.pack("<IQQ", bits, len(ids), len(doc_ids)) + doc_ids.astype("<i8").tobytes() + np.packbits(known).tobytes() + lengths.astype("<u4").tobytes()
     return MAGIC + zstandard.ZstdCompressor(level=1).compress(head + matrix.to_bytes())
 
 
-def read_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """(document ids, lengths, matrix) of a file."""
+def read_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, WaveletMatrix]:
+    """(document ids, which of them are known, lengths, matrix) of a file."""
     if blob[:4] != MAGIC:
         raise ValueError("not a token file")
     data = zstandard.ZstdDecompressor().decompress(blob[4:])
     bits, n, docs = struct.unpack_from("<IQQ", data)
     at = struct.calcsize("<IQQ")
     doc_ids = np.frombuffer(data, "<i8", docs, at)
-    lengths = np.frombuffer(data, "<u4", docs, at + 8 * docs)
-    return doc_ids, lengths, WaveletMatrix.from_bytes(data[at + 12 * docs :], n, bits)
+    at += 8 * docs
+    known = np.unpackbits(np.frombuffer(data, np.uint8, -(-docs // 8), at), count=docs).view(bool)
+    at += -(-docs // 8)
+    lengths = np.frombuffer(data, "<u4", docs, at)
+    return doc_ids, known, lengths, WaveletMatrix.from_bytes(data[at + 4 * docs :], n, bits)
 
 
 def write_token_files(docs: DataFrame, end_id: int = 2, bits: int = 16, shard_tokens: int = 1 << 20, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +163,7 @@ def write_token_files(docs: DataFrame, end_id: int = 2, bits: int = 16, shard_to
     the first document that brings it to ``shard_tokens`` ids, so a document of any length is whole in one shard.
 
     A null text is empty (its end id alone). Rows with equal ids stand side by side, by ids_crc32 of their tokens.
-    A null document id raises ValueError. An empty table gives an empty shard table. Other columns are ignored.
+    Rows with a null id come first and keep the null. An empty table gives an empty shard table. Other columns are ignored.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -172,12 +175,11 @@ def write_token_files(docs: DataFrame, end_id: int = 2, bits: int = 16, shard_to
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            if batch.column(0).null_count:
-                raise ValueError("a document id is null")
             ids = [np.frombuffer(x + end, "<u4") for x in enc.encode([x or "" for x in batch.column(1).to_pylist()])]
             if any(len(x) and int(x.max()) >> bits for x in ids):
                 raise ValueError(f"an id needs more than {bits} bits")
-            where = common.range_of(batch.column(0), bounds)
+            where = common.range_of(batch.column(0).fill_null(0), bounds)
+            where[batch.column(0).is_null().to_numpy(zero_copy_only=False)] = 0
             yield pa.RecordBatch.from_arrays(
                 [pa.array(where, pa.int32()), batch.column(0).cast(pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([x.astype(narrow).tobytes() for x in ids], pa.binary())],
                 ["part", "doc_id", "crc", "ids"],
@@ -189,9 +191,10 @@ def write_token_files(docs: DataFrame, end_id: int = 2, bits: int = 16, shard_to
         part = None
 
         def close() -> pa.RecordBatch:
-            doc_ids, found = np.array([d for d, _ in held], np.int64), [x for _, x in held]
+            doc_ids, found = np.array([d or 0 for d, _ in held], np.int64), [x for _, x in held]
+            known = np.array([d is not None for d, _ in held], bool)
             lengths = np.array([len(x) // narrow.itemsize for x in found], np.uint32)
-            blob = write_shard(doc_ids, lengths, np.frombuffer(b"".join(found), narrow), bits)
+            blob = write_shard(doc_ids, known, lengths, np.frombuffer(b"".join(found), narrow), bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), pa.array([blob], pa.binary())], ["part", "shard", "n_docs", "n_tokens", "blob"])
 
         for batch in batches:
@@ -217,11 +220,11 @@ def read_token_files(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, s, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc_ids, lengths, matrix = read_shard(blob)
+                doc_ids, known, lengths, matrix = read_shard(blob)
                 data = matrix.decode().astype("<u4").tobytes()
                 ends = np.cumsum(lengths, dtype=np.int64)
                 cuts = list(zip((4 * (ends - lengths)).tolist(), (4 * ends).tolist(), strict=True))
-                cols = [pa.array(np.full(len(doc_ids), p), pa.int32()), pa.array(np.full(len(doc_ids), s), pa.int64()), pa.array(doc_ids), pa.array(ends - lengths), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(data[a:b]) for a, b in cuts], pa.int64())]
+                cols = [pa.array(np.full(len(doc_ids), p), pa.int32()), pa.array(np.full(len(doc_ids), s), pa.int64()), pa.array(doc_ids, mask=~known), pa.array(ends - lengths), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(data[a:b]) for a, b in cuts], pa.int64())]
                 if with_ids:
                     cols.append(pa.array([data[a:b] for a, b in cuts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names)
