@@ -38,9 +38,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -111,6 +113,10 @@ def ordered(df: DataFrame, keys: list[str], name: str, weights: dict[str, str] |
     return out.drop("_m")
 
 
+#: Called when a worker turns to other texts: what an operator kept in this process for its next task.
+HELD: list = []
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -118,6 +124,8 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Arrow batches cut where their texts exceed ``most`` bytes: bounds the arrays that numpy works on."""
+    for release in HELD:
+        release()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -26,11 +26,11 @@ def piece_lengths(n: int, longest: int = 1024) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, longest: int = 1024, end_id: int | None = 0, path: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, longest: int = 1024, end_id: int | None = 0, path: str | None = None, with_ids: bool = False, cached: int = 1_200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     sequence_id numbers the sequences from 0 by falling length, so buckets of equal
-    lengths are runs of it; offset is always 0. ids: little-endian unsigned 32-bit ids.
+    lengths are runs of it; offset is always 0. ids: little-endian unsigned 32-bit ids. cached: words that a worker keeps the ids of.
 
     A null text is empty and packs its end id alone. Empty, long, null-id and repeated
     rows are packed like any other; repeated rows give equal pieces with different sequence_ids. Without end
@@ -43,7 +43,7 @@ def pack(docs: DataFrame, longest: int = 1024, end_id: int | None = 0, path: str
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, cached)
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
             who: list[int] = []

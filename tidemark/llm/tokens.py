@@ -8,6 +8,8 @@ import string
 
 import numpy as np
 
+from . import common
+
 PAIR = re.compile(r"\s\s")
 BLANK = re.compile(r"\s")
 
@@ -127,11 +129,13 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
+common.HELD.append(_ENCODERS.clear)
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder for each Python worker, whose cache then serves all its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str | None = None, most: int = 1_200_000) -> Encoder:
+    """One encoder for each Python worker, whose cache serves all its tasks until one of another kind comes."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
