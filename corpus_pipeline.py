@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length, each a sequence of its own."""
-    return packing.pack(docs)
+    return packing.pack(docs, cached=500_000)
 
 
 STAGES = [
