@@ -44,6 +44,28 @@ def test_recall_and_scores(spark):
         assert x == sorted(x, key=lambda p: (-p[1], p[0]))
 
 
+def test_recall_over_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 24)) * 2
+    rows = [(i, rng.normal(size=24) * 0.4 + centres[i % 200]) for i in range(6000)]
+    matrix = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    asked = matrix[::20]
+    best = np.argsort(-(asked @ matrix.T), axis=1)
+    want = {20 * i: [j for j in best[i, :30].tolist() if j != 20 * i][:20] for i in range(len(asked))}
+    got = run(spark, rows, block_rows=200)  # 30 blocks a curve at least
+    hits = [len({i for i, _ in got[q]} & set(w)) for q, w in want.items()]
+    assert got.keys() == want.keys() and np.mean(hits) / 20 >= 0.9
+    # And a query is compared with less than a third of the rows.
+    curves = ann.Curves(matrix, np.linalg.norm(matrix, axis=1).max() * (1 + 1e-9))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)], "cid long, embedding array<double>")
+    share = ann.fitted_share(df, matrix[::20], curves, 20, 0.93)
+    blocks = max(30, int(ann.WINDOW_BLOCKS / share))
+    a, b = ann.visits(curves.place(curves.lift(asked, query=True)), share, blocks)
+    own = (curves.place(curves.lift(matrix)) * blocks).astype(int)
+    compared = np.mean([np.any((own >= a[:, [i]]) & (own <= b[:, [i]]), axis=0).mean() for i in range(len(asked))])
+    assert (b - a + 1).sum(axis=0).mean() / blocks < 1 / 3 and compared < 1 / 3
+
+
 def test_copies_ties_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [1.0, 2.0, 2.0] if i % 3 else list(rng.integers(-3, 4, 3) + 0.5)) for i in range(1, 200)]

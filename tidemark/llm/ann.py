@@ -5,7 +5,9 @@ product is the nearest point, are turned, projected, shifted and numbered along
 Hilbert curve, several times over. Each curve is cut into blocks of about equal size by
 ranges of its key; a query visits the blocks within a window around its own place
 on every curve, and what it finds there is merged and ranked by the exact product.
-The window, a share of the curve, is fitted on a bounded sample so that it reaches ``recall`` there.
+The window is fitted on a bounded number of queries whose true neighbours are found by comparing them with all rows, so
+it shrinks as far as the vectors' structure allows: next to none for vectors without any, which no curve can search
+without looking at a large share of the rows.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors, and queries among them, on which the curves are fitted at most.
+#: Vectors whose keys tell a key's place on a curve, and queries on which the window is fitted, at most.
 SAMPLE, SAMPLE_QUERIES = 12_000, 300
-CURVES, DIMENSIONS, BITS = 8, 6, 10
-#: Rows of a block of a curve.
-BLOCK_ROWS = 4_000
-#: Shares of a curve that a window may span.
-SHARES = (0.002, 0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.13, 0.16, 0.2, 0.25, 0.32, 0.4, 0.55, 0.75, 1.0)
+CURVES, DIMENSIONS, BITS = 16, 10, 6
+#: Curves that are searched at a time: bounds the copies of the vectors that stand on disk at once.
+TOGETHER = 4
+#: Rows of a block of a curve at most, and blocks that a window should span about.
+BLOCK_ROWS, WINDOW_BLOCKS = 4_000, 6
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -86,26 +88,55 @@ class Curves:
         return [hilbert_keys(np.clip(((lifted @ t + s) * top).astype(np.int64), 0, top - 1), self.bits) for t, s in zip(self.turns, self.shifts, strict=True)]
 
     def place(self, lifted: np.ndarray) -> np.ndarray:
-        """(curve, row) -> share of the sample before the row's key."""
-        return np.stack([(np.searchsorted(p, k, "left") + np.searchsorted(p, k, "right")) / (2 * len(p)) for p, k in zip(self.places, self.keys(lifted), strict=True)])
-
-
-def fit(sample: np.ndarray, longest: float, k: int, recall: float) -> tuple[Curves, float]:
-    """Curves, and the smallest share of ``SHARES`` whose window finds ``recall`` of the sample's own k nearest.
-
-    The k nearest of a sample lie further off than those of the whole, so the share is on the safe side.
-    """
-    curves = Curves(sample, longest)
-    rows = np.linspace(0, len(sample) - 1, min(SAMPLE_QUERIES, len(sample))).astype(int)
-    near = sample[rows] @ sample.T
-    near[np.arange(len(rows)), rows] = -np.inf
-    k = min(k, len(sample) - 1)
-    if k < 1:
-        return curves, 1.0
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    places, own = curves.place(curves.lift(sample)), curves.place(curves.lift(sample[rows], query=True))
-    apart = np.min([np.abs(p[best] - o[:, None]) for p, o in zip(places, own, strict=True)], axis=0)
-    return curves, next((s for s in SHARES if (apart <= s / 2).mean() >= recall), 1.0)
+        """(curve, row) -> share of the sample before the row's key, between two sampled keys by distance."""
+        out = np.empty((len(self.places), len(lifted)))
+        for i, (p, k) in enumerate(zip(self.places, self.keys(lifted), strict=True)):
+            lo, hi = np.searchsorted(p, k, "left"), np.searchsorted(p, k, "right")
+            below, above = p[np.maximum(lo - 1, 0)], p[np.minimum(hi, len(p) - 1)]
+            inside = (k - np.minimum(below, k)) / np.maximum(above - below, 1)
+            out[i] = np.where(hi > lo, (lo + hi) / 2, np.clip(lo - 0.5 + inside, 0, len(p))) / len(p)
+        return out
+
+
+def true_neighbours(vectors: DataFrame, asked: np.ndarray, curves: Curves, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, places on the curves) of each of the k nearest of a bounded number of queries, by comparing these with all vectors (cid, embedding)."""
+    sent = vectors.sparkSession.sparkContext.broadcast((asked, curves))  # bounded by SAMPLE_QUERIES, SAMPLE and CURVES
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, curves = sent.value
+        best, at = np.full((len(asked), k + 1), -np.inf), np.zeros((len(asked), k + 1, len(curves.turns)))
+        for batch in batches:
+            if batch.num_rows:
+                m = _matrix(batch.column(1))
+                score = np.concatenate([best, asked @ m.T], axis=1)
+                keep = np.argpartition(-score, k, axis=1)[:, : k + 1]
+                old = keep <= k
+                places = curves.place(curves.lift(m)).T
+                new = places[np.maximum(keep - k - 1, 0)]
+                new[old] = np.take_along_axis(at, np.where(old, keep, 0)[:, :, None], axis=1)[old]
+                best, at = np.take_along_axis(score, keep, axis=1), new
+        q, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, j]), pa.array(at[q, j].tolist(), pa.list_(pa.float64()))], ["q", "score", "places"])
+
+    found = vectors.select("cid", "embedding").mapInArrow(run, "q int, score double, places array<double>")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "places")
+    rows = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).collect()  # at most SAMPLE_QUERIES * (k + 1)
+    return np.array([r["q"] for r in rows], np.int64), np.array([r["places"] for r in rows]).reshape(len(rows), len(curves.turns))
+
+
+def fitted_share(vectors: DataFrame, asked: np.ndarray, curves: Curves, k: int, recall: float) -> float:
+    """Share of a curve that a window must span to find ``recall`` of the k nearest (and itself) of the queries ``asked``."""
+    q, places = true_neighbours(vectors, asked, curves, k)
+    own = curves.place(curves.lift(asked, query=True)).T
+    apart = np.sort(np.abs(places - own[q]).min(axis=1))
+    return min(1.0, 2 * float(apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) + 1e-9)
+
+
+def visits(places: np.ndarray, share: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last block, (curve, row), that queries at ``places`` visit. Near an end a window is moved inwards, so it keeps its size."""
+    lo, hi = places - share / 2, places + share / 2
+    push = np.maximum(-lo, 0) - np.maximum(hi - 1, 0)
+    return tuple(np.clip(((x + push) * blocks).astype(np.int64), 0, blocks - 1) for x in (lo, hi))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -122,10 +153,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.where(F.size("embedding") == (size["s"] if size else 0))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``.
 
-    score is the inner product in double precision; ties go to the smaller vec_id. Equal
+    score is the inner product in double precision, added up in order of the components; ties go to the smaller vec_id. Equal
     vectors are indexed once, with their k + 1 smallest ids, so no group of copies, however large, is searched or
     listed whole, and none of its members that could rank is lost.
 
@@ -148,26 +179,23 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.
     # Bounded: SAMPLE vectors, by the smallest hashes.
     sample = _matrix(pa.array([r[0] for r in classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("embedding").collect()], pa.list_(pa.float64())))
     longest = classes.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).head()[0]
-    curves, share = fit(sample, longest * (1 + 1e-9), k, recall)
-    blocks = max(1, -(-rows // BLOCK_ROWS))
+    curves = Curves(sample, longest * (1 + 1e-9))
+    share = fitted_share(classes, sample[:SAMPLE_QUERIES], curves, k, recall)
+    blocks = min(rows, max(-(-rows // block_rows), int(WINDOW_BLOCKS / share)))
     sent = spark.sparkContext.broadcast(curves)  # bounded by SAMPLE and CURVES
+    near = 1e-9 * longest**2  # products that differ by less may come in another order here than by the exact sum
 
-    def deal(query: bool):
+    def deal(query: bool, some: range):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             curves = sent.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                places = curves.place(curves.lift(_matrix(batch.column(1)), query))
-                lo, hi = ((places - share / 2, places + share / 2) if query else (places, places))
-                # Near an end the window is moved inwards, so it keeps its size.
-                if query:
-                    push = np.maximum(-lo, 0) - np.maximum(hi - 1, 0)
-                    lo, hi = lo + push, hi + push
-                a, b = (np.clip((x * blocks).astype(np.int64), 0, blocks - 1) for x in (lo, hi))
+                places = curves.place(curves.lift(_matrix(batch.column(1)), query))[some.start : some.stop]
+                a, b = visits(places, share if query else 0.0, blocks)
                 width = (b - a + 1).T  # (row, curve)
                 row = np.repeat(np.arange(batch.num_rows), width.sum(axis=1))
-                curve = np.repeat(np.tile(np.arange(len(places)), batch.num_rows), width.ravel())
+                curve = np.repeat(np.tile(np.arange(some.start, some.stop), batch.num_rows), width.ravel())
                 start = np.cumsum(width.ravel()) - width.ravel()
                 block = np.arange(len(curve)) - np.repeat(start, width.ravel()) + np.repeat(a.T.ravel(), width.ravel())
                 picked = batch.take(pa.array(row))
@@ -201,13 +229,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.
                     e = min(s + 256, j)
                     score = m[s:e] @ matrix.T
                     keep = min(k + 1, len(ids))
-                    cut = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
-                    found_ids, found = [], []
-                    for r in range(e - s):
-                        hit = np.flatnonzero(score[r] >= cut[r])
-                        found_ids.append(ids[hit])
-                        found.append(score[r][hit])
-                    yield pa.RecordBatch.from_arrays([pa.array(cid[s:e]), pa.array([x.tolist() for x in found_ids], pa.list_(pa.int64())), pa.array([x.tolist() for x in found], pa.list_(pa.float64()))], ["q", "cids", "scores"])
+                    cut = -np.partition(-score, keep - 1, axis=1)[:, keep - 1] - near
+                    r, hit = np.nonzero(score >= cut[:, None])
+                    ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(r, minlength=e - s)))).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[s:e]), pa.ListArray.from_arrays(ends, pa.array(ids[hit])), pa.ListArray.from_arrays(ends, pa.array(score[r, hit]))], ["q", "cids", "scores"])
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -219,8 +244,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.
             ids, place = np.unique(ids, return_index=True)
             score = score[place]
             keep = min(k + 1, len(ids))
-            hit = score >= -np.partition(-score, keep - 1)[keep - 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(int(hit.sum()), at)), pa.array(ids[hit]), pa.array(score[hit])], ["q", "cid", "score"])
+            hit = score >= -np.partition(-score, keep - 1)[keep - 1] - near
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([ids[hit]], pa.list_(pa.int64())), pa.array([score[hit]], pa.list_(pa.float64()))], ["q", "cids", "scores"])
 
         for batch in batches:
             for q, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -233,18 +258,29 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.
             yield close()
 
     n = common.partitions(spark)
+    found_ddl = "q bigint, cids array<bigint>, scores array<double>"
     plain = classes.select("cid", "embedding")
     askers = asked.join(plain, "embedding").select("cid", "embedding")
-    dealt = plain.mapInArrow(deal(False), dealt_ddl).unionByName(askers.mapInArrow(deal(True), dealt_ddl))
-    found = dealt.repartition(n, "curve", "block").sortWithinPartitions("curve", "block", "query").mapInArrow(search, "q bigint, cids array<bigint>, scores array<double>")
-    top = common.materialize(found.repartition(n, "q").sortWithinPartitions("q").mapInArrow(merge, "q bigint, cid bigint, score double"), "neighbours")
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.repartition(n, "q").sortWithinPartitions("q").mapInArrow(merge, found_ddl)
+
+    parts = []
+    for i in range(0, CURVES, TOGETHER):
+        some = range(i, min(i + TOGETHER, CURVES))
+        dealt = plain.mapInArrow(deal(False, some), dealt_ddl).unionByName(askers.mapInArrow(deal(True, some), dealt_ddl))
+        found = dealt.repartition(n, "curve", "block").sortWithinPartitions("curve", "block", "query").mapInArrow(search, found_ddl)
+        parts.append(common.materialize(merged(found), "neighbours"))
+    every_part = parts[0]
+    for part in parts[1:]:
+        every_part = every_part.unionByName(part)
+    top = merged(every_part).select("q", F.explode("cids").alias("cid"))
+    # One fixed sum for every pair, whatever block it met in.
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    pairs = top.join(plain.select(F.col("cid").alias("q"), double("embedding").alias("x")), "q").join(classes.select("cid", "ids", double("embedding").alias("y")), "cid")
+    exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    lists = (
-        top.join(classes.select("cid", "ids"), "cid")
-        .select("q", "score", F.explode("ids").alias("vec_id"))
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= k + 1)
-    )
+    lists = pairs.select("q", exact.alias("score"), F.explode("ids").alias("vec_id")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     by_id = queries.join(plain, "embedding").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("q"))
     mine = by_id.join(lists, "q").where("vec_id <> query_id")
     final = Window.partitionBy("query_id", "q").orderBy("place")
