@@ -1,4 +1,4 @@
-"""Blocks of documents that pass over a table more than once, and compact messages between them."""
+"""Blocks of documents, written once for several passes over them, and compact messages between them."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from . import common
 
 #: A message: the block it is from or for, what it is, the bucket it goes to, its content.
 SENT = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -60,20 +64,59 @@ def rows(found: list[tuple], schema: pa.Schema = SENT) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-class Namer:
-    """Names for a task's blocks: by partition, place and content.
+#: What a row of a table of blocks is, for those who mix it with messages of kinds from 0 on.
+WHOLE = 99
+
+
+def cut_blocks(docs: DataFrame, most: int, name: str) -> DataFrame:
+    """``docs`` (text last) as blocks of up to ``most`` text bytes, one row each, written to the shared folder.
 
-    Two passes over a table deal it out alike, so they agree; should they not, the content
-    makes the names differ, and whoever waits for a message of that name notices.
+    The input is read once. Every later pass reads the written blocks, so it sees the same ones under the same
+    names, whatever order the input's rows come in.
     """
+    kinds = [to_arrow_type(f.dataType) for f in docs.schema.fields[:-1]]
+    *names, text = docs.columns
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count = TaskContext.get().partitionId(), 0
+        for batch, found in common.slices(batches, text, most):
+            sink = pa.BufferOutputStream()
+            head = pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(batch.columns[:-1], kinds, strict=True)], names)
+            with pa.ipc.new_stream(sink, head.schema) as w:
+                w.write_batch(head)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            payload = frame([sink.getvalue().to_pybytes(), squeeze(sizes), zstandard.ZstdCompressor(level=1).compress(b"".join(found))])
+            yield rows([((part << 32) + count, WHOLE, 0, payload)])
+            count += 1
+
+    return common.materialize(docs.mapInArrow(cut, SENT_DDL), name)
+
+
+def open_block(payload: bytes) -> tuple[pa.Table, list[bytes]]:
+    """(the other columns, the texts) of a block."""
+    head, sizes, data = unframe(payload)
+    with pa.ipc.open_stream(pa.BufferReader(head)) as r:
+        columns = r.read_all()
+    ends = np.cumsum(stretch(sizes).astype(np.int64)).tolist()
+    data = zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, ends[-1] if ends else 1))
+    return columns, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def each_block(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """(name, payload) of the rows of a table of blocks."""
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)
+
+
+def bucket_bits(text_bytes: int, at_least: int, most: int) -> int:
+    """Bits that name so many buckets that ``most`` text bytes' share goes to one, and ``at_least`` in all."""
+    return max(0, (max(-(-text_bytes // most), at_least) - 1).bit_length())
 
-    def __init__(self):
-        context = TaskContext.get()
-        self.part, self.count = context.partitionId() if context else 0, 0
 
-    def name(self, *content: object) -> int:
-        self.count += 1
-        return xxhash.xxh64_intdigest(repr((self.part, self.count, content)).encode()) >> 1
+def by_bucket(sent: DataFrame, bits: int, *order: str) -> DataFrame:
+    """Messages dealt to partitions by runs of buckets; hashes fill buckets alike, so partitions too."""
+    n = common.partitions(sent.sparkSession)
+    return sent.repartitionById(n, F.shiftright(F.col("bucket").cast("long") * n, bits).cast("int")).sortWithinPartitions(*order)
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: int, close: Callable[[tuple, list[tuple]], Iterable[pa.RecordBatch]], skip: int = 0) -> Iterator[pa.RecordBatch]:

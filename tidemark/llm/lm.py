@@ -1,10 +1,11 @@
-"""Language-model scoring by deleted interpolation of bigram, unigram and uniform estimates.
+"""Language-model scoring by deleted interpolation of trigram, bigram, unigram and uniform estimates.
 
 Counting never moves tokens. Each block of documents sends its distinct n-grams with
 their counts, as sorted and compressed 64-bit hashes, to buckets of the hash; a bucket adds up what all blocks sent
 and answers each block with the totals, in the block's own order. An n-gram that every document holds costs a bucket one entry per
 block. The mixture weights, one set for each power of two of the context's count, come from expectation-maximisation
-over deleted counts: every training token is held out in turn, its own occurrence taken off.
+over deleted counts: every training token is held out in turn, its own occurrence taken off all counts. Each step's sums are
+made where the blocks lie; the driver sees four numbers a class.
 """
 
 from __future__ import annotations
@@ -18,62 +19,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
-from .blocks import SENT_DDL, Namer, bucket_cuts, frame, ranked, rows, runs, squeeze, stretch, unframe
+from .blocks import SENT_DDL, WHOLE, bucket_bits, bucket_cuts, by_bucket, cut_blocks, each_block, frame, open_block, ranked, rows, runs, squeeze, stretch, unframe
 from .features import chain
 
 #: Hashes that stand for the end of a text and for what stands before its first word.
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
-UNIGRAM, BIGRAM, TEXTS = 0, 1, 2
-#: Text bytes of a block.
-BLOCK_BYTES = 4 << 20
-#: Steps of an octave to which the ratios of estimates are rounded for the fit.
-STEPS = 8
+UNIGRAM, BIGRAM, TRIGRAM = KINDS = 0, 1, 2
+#: Text bytes of a block, and of what goes to one bucket.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Steps of expectation-maximisation.
+ROUNDS = 15
+#: Classes of contexts: unseen; one word, by the power of two of its count, after two unseen together; two words, likewise.
+ONE, TWO, CLASSES = 1, 65, 129
+#: Weights of trigram, bigram, unigram and uniform estimate to start from, from the class on.
+FIRST = {0: (0.0, 0.0, 0.5, 0.5), ONE: (0.0, 0.4, 0.4, 0.2), TWO: (0.4, 0.3, 0.2, 0.1)}
+LEAST = 1e-6
 
 
 class Block:
-    """The tokens of some documents: distinct unigrams and bigrams, and where they stand."""
+    """The tokens of some documents: distinct n-grams, and where they stand."""
 
     def __init__(self, found: list[bytes], train: np.ndarray):
         data, starts, ends, counts = common.words_of(found)
         h = common.hash_spans(data, starts, ends)
         self.lengths = counts + 1
         last = np.cumsum(self.lengths) - 1
+        first = last + 1 - self.lengths
         tokens = np.full(int(self.lengths.sum()), END)
         word = np.ones(len(tokens), bool)
         word[last] = False
         tokens[word] = h
         before = np.concatenate(([START], tokens[:-1]))
-        before[last + 1 - self.lengths] = START
-        self.train = train
+        before[first] = START
+        pairs = chain(before, tokens, 5)
+        earlier = np.concatenate(([START], before[:-1]))
+        earlier[first] = START
         weight = np.repeat(train.astype(np.int64), self.lengths)
         self.keys, self.rank, self.counts = [], [], []
-        for x in (tokens, chain(before, tokens, 5)):
+        for x in (tokens, pairs, chain(earlier, pairs, 6)):
             keys, rank = ranked(x)
             self.keys.append(keys)
             self.rank.append(rank)
             self.counts.append(np.bincount(rank, weights=weight, minlength=len(keys)).astype(np.int64))
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, Block]]:
-    namer = Namer()
-    for part, found in common.slices(batches, "text", BLOCK_BYTES):
-        ids = part.column(0).to_pylist()
-        block = Block(found, np.array(part.column(1).to_pylist(), bool))
-        yield namer.name(ids, block.lengths.tolist()), ids, block
 
+def _opened(payload: bytes) -> tuple[pa.Array, np.ndarray, Block]:
+    columns, found = open_block(payload)
+    train = np.array(columns.column("train").to_pylist(), bool)
+    return columns.column("doc_id").combine_chunks(), train, Block(found, train)
 
-def totals(docs: DataFrame, bits: int) -> DataFrame:
+
+def totals(blocks: DataFrame, bits: int) -> DataFrame:
     """For each block, kind and bucket: the training totals of the block's n-grams (payload), written to the shared folder.
 
     Rows of block -1 hold, by bucket of unigrams, the number of distinct training tokens and of all.
     """
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, block in _blocks(batches):
-            out = []
-            for kind in (UNIGRAM, BIGRAM):
+        for name, payload in each_block(batches):
+            block, out = _opened(payload)[2], []
+            for kind in KINDS:
                 keys = block.keys[kind]
                 cuts = bucket_cuts(keys, bits)
-                for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                for bucket, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                     if b > a:
                         out.append((name, kind, bucket, frame([squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(block.counts[kind][a:b])])))
             yield rows(out)
@@ -94,84 +102,92 @@ def totals(docs: DataFrame, bits: int) -> DataFrame:
 
         return runs(batches, 2, close, skip=1)
 
-    n = common.partitions(docs.sparkSession)
-    sent = docs.mapInArrow(send, SENT_DDL).repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
+    sent = by_bucket(blocks.mapInArrow(send, SENT_DDL), bits, "kind", "bucket", "block")
     return common.materialize(sent.mapInArrow(add, SENT_DDL), "ngram-totals")
 
 
+def counted(blocks: DataFrame, sums: DataFrame) -> DataFrame:
+    """Per block (payload): ids, lengths, which documents train, and each token's totals as word, pair and triple; written to the shared folder."""
+
+    def close(at: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        (whole,) = (p for _, kind, _, p in held if kind == WHOLE)
+        ids, train, block = _opened(whole)
+        found = [np.concatenate([stretch(p) for _, k, _, p in held if k == kind]) for kind in KINDS]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as w:
+            w.write_batch(pa.RecordBatch.from_arrays([ids], ["doc_id"]))
+        yield rows([(*at, WHOLE, 0, frame([sink.getvalue().to_pybytes(), squeeze(block.lengths), squeeze(train), *(squeeze(f[r]) for f, r in zip(found, block.rank, strict=True))]))])
+
+    n = common.partitions(blocks.sparkSession)
+    both = blocks.unionByName(sums.where("block >= 0"))
+    met = both.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
+    return common.materialize(met.mapInArrow(lambda b: runs(b, 1, close), SENT_DDL), "ngram-counts")
+
+
+def context_class(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The class of a context by the training counts of its two words together and of its last word."""
+    power = lambda x: np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    return np.where(two > 0, TWO + power(two), np.where(one > 0, ONE + power(one), 0))
+
+
 class Counted:
     """A block's tokens with the totals of their n-grams."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]], end_total: int):
-        texts = [p for kind, _, p in rows if kind == TEXTS]
-        if len(texts) != 1:
-            raise RuntimeError("a block met totals that are not its own; the table changed between two passes")
-        lengths, train, uni, bi = (stretch(x) for x in unframe(texts[0])[1:5])
-        self.ids = texts[0]
+    def __init__(self, payload: bytes, texts: int):
+        parts = unframe(payload)
+        self.ids, (lengths, train, *found) = parts[0], (stretch(x) for x in parts[1:])
         self.lengths, self.train = lengths.astype(np.int64), train.astype(bool)
-        found = [np.concatenate([stretch(p) for k, _, p in rows if k == kind]).astype(np.int64) for kind in (UNIGRAM, BIGRAM)]
-        self.word, self.pair = found[0][uni], found[1][bi]
-        self.context = np.concatenate(([end_total], self.word[:-1]))
+        self.word, self.pair, self.triple = (x.astype(np.int64) for x in found)
         self.first = np.cumsum(self.lengths) - self.lengths
-        self.context[self.first] = end_total
-
-
-def counted(docs: DataFrame, sums: DataFrame, out: callable, schema: str) -> DataFrame:
-    """Bring each block and its totals together: out(rows of one block) -> RecordBatch."""
-
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-
-    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, block in _blocks(batches):
-            own = pa.array(ids, id_type)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("id", own.type)])) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([own], ["id"]))
-            payload = frame([sink.getvalue().to_pybytes(), squeeze(block.lengths), squeeze(block.train), squeeze(block.rank[UNIGRAM]), squeeze(block.rank[BIGRAM])])
-            yield rows([(name, TEXTS, 0, payload)])
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return runs(batches, 1, lambda _, held: [out([r[1:] for r in held])])
-
-    n = common.partitions(docs.sparkSession)
-    both = docs.mapInArrow(texts, SENT_DDL).unionByName(sums.where("block >= 0"))
-    return both.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(meet, schema)
-
-
-def context_class(count: np.ndarray) -> np.ndarray:
-    """0 for an unseen context, else one more than the binary logarithm of its count."""
-    return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 0)
-
-
-def learn_weights(cells: np.ndarray, rounds: int = 60) -> dict[int, tuple[float, float, float]]:
-    """EM: cells (class, steps of p2 / p0, steps of p1 / p0, tokens; -1 steps: estimate 0) -> weights of p2, p1, p0 by class."""
-    out = {}
-    for k in np.unique(cells[:, 0]) if len(cells) else []:
-        own = cells[cells[:, 0] == k]
-        likely = np.stack([*(np.where(own[:, i] < 0, 0.0, 2.0 ** (np.minimum(own[:, i], 64 * STEPS) / STEPS - 32)) for i in (1, 2)), np.ones(len(own))], axis=1)
-        w = np.array([0.0 if k == 0 else 0.4, 0.4, 0.2])
-        w /= w.sum()
-        for _ in range(rounds):
-            share = likely * w
-            share /= share.sum(axis=1, keepdims=True)
-            w = share.T @ own[:, 3]
-            w = np.maximum(w / w.sum(), [0.0 if k == 0 else 1e-6, 1e-6, 1e-6])
-            w /= w.sum()
-        out[int(k)] = tuple(w)
+        # A text's first word stands after the start alone, which stands once in each training text.
+        self.one, self.two = (np.concatenate(([texts], x[:-1])) for x in (self.word, self.pair))
+        self.one[self.first] = self.two[self.first] = texts
+
+    def estimates(self, n: int, v: int, held_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(class, estimates by trigram, bigram, unigram and uniform) of all tokens; or of the training tokens, each taken off all counts."""
+        found = (self.triple, self.two, self.pair, self.one, self.word)
+        if held_out:
+            live = np.repeat(self.train, self.lengths)
+            found, n = [x[live] - 1 for x in found], n - 1
+        triple, two, pair, one, word = found
+        out = np.empty((4, len(word)))
+        out[0], out[1], out[2], out[3] = triple / np.maximum(two, 1), pair / np.maximum(one, 1), word / max(n, 1), 1 / (v + 1)
+        return context_class(two, one), out
+
+
+def filled(weights: dict[int, list[float]]) -> np.ndarray:
+    """(class, weight): the learnt weights; a class without any has those of the one below it, or those to start from."""
+    out = np.zeros((CLASSES, 4))
+    for k in range(CLASSES):
+        out[k] = weights.get(k, FIRST[k] if k in FIRST else out[k - 1])
     return out
 
 
-def deleted_cells(c: Counted, n: int, v: int) -> np.ndarray:
-    """What ``learn_weights`` takes, of the block's training tokens, each taken off all counts."""
-    live = np.repeat(c.train, c.lengths)
-    pair, context, word = c.pair[live] - 1, c.context[live] - 1, c.word[live] - 1
-    p0 = 1 / (v + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratios = [np.where(pair > 0, pair / context, 0) / p0, word / max(n - 1, 1) / p0]
-        steps = [np.where(r > 0, np.rint((np.log2(np.where(r > 0, r, 1)) + 32) * STEPS), -1).astype(np.int64) for r in ratios]
-    key = context_class(context) << 40 | (steps[0] + 1) << 20 | (steps[1] + 1)
-    keys, rank = ranked(key)
-    return np.stack([keys >> 40, (keys >> 20 & 0xFFFFF) - 1, (keys & 0xFFFFF) - 1, np.bincount(rank, minlength=len(keys))], axis=1)
+def learn_weights(blocks: DataFrame, texts: int, n: int, v: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Mixture weights (class, estimate) that make the held-out training tokens likely, by expectation-maximisation."""
+    weights: dict[int, list[float]] = {}
+    for _ in range(rounds):
+        now = np.array([FIRST[TWO if k >= TWO else ONE if k else 0] for k in range(CLASSES)]) if not weights else filled(weights)
+
+        def expected(batches: Iterable[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((CLASSES, 4))
+            for _, payload in each_block(batches):
+                kind, share = Counted(payload, texts).estimates(n, v, held_out=True)
+                share *= now.T[:, kind]
+                share /= share.sum(axis=0)
+                sums += np.stack([np.bincount(kind, weights=x, minlength=CLASSES) for x in share], axis=1)
+            k, j = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(sums[k, j])], ["class", "estimate", "tokens"])
+
+        found = blocks.mapInArrow(expected, "class int, estimate int, tokens double").groupBy("class", "estimate").agg(F.sum("tokens").alias("tokens")).collect()  # at most CLASSES * 4
+        sums = np.zeros((CLASSES, 4))
+        for r in found:
+            sums[r["class"], r["estimate"]] = r["tokens"]
+        weights = {}
+        for k in np.flatnonzero(sums.sum(axis=1)).tolist():
+            w = np.maximum(sums[k] / sums[k].sum(), np.where(now[k] > 0, LEAST, 0))
+            weights[k] = (w / w.sum()).round(9).tolist()  # so the order in which tasks' sums are added doesn't show
+    return filled(weights)
 
 
 def score_texts(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
@@ -184,44 +200,36 @@ def score_texts(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFram
     """
     spark = docs.sparkSession
     common.tune(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType
     held = F.coalesce(common.crc_share("doc_id", folds) == held_out, F.lit(False))
     d = docs.select("doc_id", (~held).alias("train"), "text")
-    bits = max(0, (common.partitions(spark) - 1).bit_length() + 1)
-    sums = totals(d, bits)
+    size = d.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("train").alias("texts")).head()
+    texts = size["texts"]
+    bits = bucket_bits(size["bytes"] or 0, common.partitions(spark), BUCKET_BYTES)
+    blocks = cut_blocks(d, BLOCK_BYTES, "lm-blocks")
+    sums = totals(blocks, bits)
     v = n = 0
-    for r in sums.where("block = -1").collect():  # one row per bucket
+    for r in sums.where("block = -1").select("payload").toLocalIterator():  # one row per bucket
         a, b = stretch(bytes(r["payload"])).tolist()
         v, n = v + a, n + b
-    ends = d.where("train").count()
-
-    cell_schema = pa.schema([(x, pa.int64()) for x in ("class", "two", "one", "tokens")])
-
-    def cells(rows: list) -> pa.RecordBatch:
-        found = deleted_cells(Counted(rows, ends), n, v)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found.T], schema=cell_schema)
-
-    # The cells are as many as classes and steps allow, whatever the corpus.
-    fitted = counted(d, sums, cells, "class bigint, two bigint, one bigint, tokens bigint")
-    rows = fitted.groupBy("class", "two", "one").agg(F.sum("tokens").alias("tokens")).collect()
-    weights = learn_weights(np.array([tuple(r) for r in rows], np.int64).reshape(-1, 4))
-    lam = np.zeros((66, 3))
-    last = (0.0, 0.5, 0.5)
-    for k in range(66):
-        last = weights.get(k, last if k != 1 else weights.get(1, (0.4, 0.4, 0.2)))
-        lam[k] = last
-
-    def scores(rows: list) -> pa.RecordBatch:
-        c = Counted(rows, ends)
-        w = lam[context_class(c.context)]
-        p = w[:, 0] * (c.pair / np.maximum(c.context, 1)) + w[:, 1] * (c.word / max(n, 1)) + w[:, 2] / (v + 1)
-        add = lambda x: np.add.reduceat(x, c.first)
-        base = np.log10((c.word + 0.1) / (n + 0.1 * (v + 1)))
-        with pa.ipc.open_stream(pa.BufferReader(unframe(c.ids)[0])) as r:
-            ids = r.read_all().column(0).combine_chunks()
-        return pa.RecordBatch.from_arrays([ids, pa.array(~c.train), pa.array(c.lengths), pa.array(add((c.word > 0).astype(np.int64))), pa.array(np.full(len(c.lengths), n)), pa.array(add(base)), pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return counted(d, sums, scores, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    tokens = counted(blocks, sums)
+    common.discard(sums)
+    common.discard(blocks)
+    lam = learn_weights(tokens, texts, n, v)
+    arrow = to_arrow_type(kind)
+
+    def scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, payload in each_block(batches):
+            c = Counted(payload, texts)
+            at, p = c.estimates(n, v)
+            p *= lam.T[:, at]
+            add = lambda x: np.add.reduceat(x, c.first)
+            base = np.log10((c.word + 0.1) / (n + 0.1 * (v + 1)))
+            with pa.ipc.open_stream(pa.BufferReader(c.ids)) as r:
+                ids = r.read_all().column(0).combine_chunks().cast(arrow)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(~c.train), pa.array(c.lengths), pa.array(add((c.word > 0).astype(np.int64))), pa.array(np.full(len(c.lengths), n)), pa.array(add(base)), pa.array(add(np.log10(p.sum(axis=0))))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return tokens.mapInArrow(scores, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op9_lm_scores(spark, sf_dir: str) -> DataFrame:
