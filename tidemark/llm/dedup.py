@@ -27,19 +27,19 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
-from .blocks import SENT_DDL, Namer, bucket_cuts, frame, rows, runs, squeeze, stretch, unframe
+from .blocks import SENT_DDL, bucket_bits, bucket_cuts, by_bucket, cut_blocks, each_block, frame, open_block, rows, runs, squeeze, stretch, unframe
+from .blocks import WHOLE as BLOCK
 from .suffix import common_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 32
-#: Text bytes of a shard.
-SHARD_BYTES = 2 << 20
+#: Text bytes of a shard, and of what goes to one bucket.
+SHARD_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 #: An anchor in more shards than these has its windows dealt one by one.
 HOT_SHARDS = 16_384
-ANCHORS, TEXTS, SEGMENTS, REPEATS, WHOLE = 0, 1, 2, 3, 4
+ANCHORS, TEXTS, SEGMENTS, REPEATS = 0, 1, 2, 3
 LAST = (1 << 63) - 1
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd base of the window keys, and its inverse modulo 2**64.
@@ -127,21 +127,19 @@ class Shard:
         self.many = np.bincount(self.place, minlength=len(self.keys)) > 1
 
 
-def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, Shard]]:
-    namer = Namer()
-    for part, found in common.slices(batches, "text", SHARD_BYTES):
-        ids = part.column(0).to_pylist()
-        shard = Shard(ids, found)
-        yield namer.name(ids, shard.digest.tolist()), ids, shard
+def _opened(payload: bytes) -> tuple[pa.Array, Shard]:
+    columns, found = open_block(payload)
+    ids = columns.column("doc_id").combine_chunks()
+    return ids, Shard(ids.to_pylist(), found)
 
 
-def shared_anchors(docs: DataFrame, bits: int, hot_shards: int) -> DataFrame:
+def shared_anchors(blocks: DataFrame, bits: int, hot_shards: int) -> DataFrame:
     """Per shard: which of its anchors, by bucket, stand elsewhere too (1; 2: in more than ``hot_shards`` shards); which of its texts aren't the first of their kind."""
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, s in _shards(batches):
+        for name, payload in each_block(batches):
+            s, out = _opened(payload)[1], []
             s.anchors()
-            out = []
             cuts = bucket_cuts(s.keys, bits)
             for bucket in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = int(cuts[bucket]), int(cuts[bucket + 1])
@@ -181,41 +179,19 @@ def shared_anchors(docs: DataFrame, bits: int, hot_shards: int) -> DataFrame:
         repeat[by[later]] = True
         yield rows([(r[0], kind, at[1], squeeze(p[3][repeat[a:b]])) for r, p, a, b in zip(held, parts, cuts[:-1], cuts[1:], strict=True)])
 
-    n = common.partitions(docs.sparkSession)
-    sent = docs.mapInArrow(send, SENT_DDL).repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
+    sent = by_bucket(blocks.mapInArrow(send, SENT_DDL), bits, "kind", "bucket", "block")
     return common.materialize(sent.mapInArrow(lambda b: runs(b, 2, answer, skip=1), SENT_DDL), "shared-anchors")
 
 
-def together(docs: DataFrame, messages: DataFrame, out: Callable[[list, Shard, list[tuple]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def together(blocks: DataFrame, messages: DataFrame, out: Callable[[int, pa.Array, Shard, list[tuple]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """Each shard with the messages to it: out(name, ids, shard, messages)."""
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-
-    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = Namer()
-        for part, found in common.slices(batches, "text", SHARD_BYTES):
-            ids = part.column(0).to_pylist()
-            s = Shard(ids, found)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("id", id_type)])) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, id_type)], ["id"]))
-            sizes = np.array([len(x) for x in found])
-            payload = frame([sink.getvalue().to_pybytes(), squeeze(sizes), zstandard.ZstdCompressor(level=1).compress(b"".join(found))])
-            yield rows([(namer.name(ids, s.digest.tolist()), WHOLE, 0, payload)])
 
     def meet(at: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        whole = [r[3] for r in held if r[1] == WHOLE]
-        if len(whole) != 1:
-            raise RuntimeError("a shard met messages that are not its own; the table changed between two passes")
-        head, sizes, data = unframe(whole[0])
-        with pa.ipc.open_stream(pa.BufferReader(head)) as r:
-            ids = r.read_all().column(0).combine_chunks()
-        ends = np.cumsum(stretch(sizes).astype(np.int64)).tolist()
-        data = zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, ends[-1] if ends else 1))
-        found = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        yield from out(at[0], ids, Shard(ids.to_pylist(), found), [r for r in held if r[1] != WHOLE])
-
-    n = common.partitions(docs.sparkSession)
-    both = docs.mapInArrow(texts, SENT_DDL).unionByName(messages)
+        (whole,) = (r[3] for r in held if r[1] == BLOCK)
+        yield from out(at[0], *_opened(whole), [r for r in held if r[1] != BLOCK])
+
+    n = common.partitions(blocks.sparkSession)
+    both = blocks.unionByName(messages)
     return both.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(lambda b: runs(b, 1, meet), schema)
 
 
@@ -264,7 +240,7 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[at], reach[np.append(at[1:], len(lo)) - 1]
 
 
-def candidates(docs: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
+def candidates(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
     """Per shard: its repeats of itself (REPEATS, TEXTS), and by bucket the windows that may repeat another shard's (SEGMENTS)."""
 
     def out(name: int, ids: pa.Array, s: Shard, messages: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +289,7 @@ def candidates(docs: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
             found.append((name, SEGMENTS, bucket, payload))
         yield rows(found)
 
-    return common.materialize(together(docs, answers, out, SENT_DDL), "suffix-candidates")
+    return common.materialize(together(blocks, answers, out, SENT_DDL), "suffix-candidates")
 
 
 def window_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -368,7 +344,16 @@ def merge_segments(at: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
     for j in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
         same &= words[x + j] == words[y + j]
     if not same.all():
-        raise RuntimeError("two windows differ but have one key")
+        # Unlike windows of one key: theirs are told apart by their bytes, in the same order.
+        shared = np.isin(found, found[late[~same]])
+        seen: set[bytes] = set()
+        again = []
+        for i in np.flatnonzero(shared).tolist():
+            window = raw[places[i] : places[i] + LENGTH]
+            if window in seen:
+                again.append(i)
+            seen.add(window)
+        late = np.sort(np.concatenate([late[~shared[late]], np.array(again, np.int64)]))
     starts, own = lo[segment[late]] + step[late], own[late]
     by = np.lexsort((starts, own))
     starts, own = starts[by], own[by]
@@ -381,11 +366,13 @@ def removed_bytes(docs: DataFrame, out: Callable[[pa.Array, list[tuple[bytes, np
     """out(ids, [(text, span starts, span ends), ...]) of every shard, spans being what is to go of each document."""
     spark = docs.sparkSession
     common.tune(spark)
-    bits = max(0, (4 * common.partitions(spark) - 1).bit_length())
-    answers = shared_anchors(docs, bits, hot_shards)
-    found = candidates(docs, answers, bits)
-    n = common.partitions(spark)
-    segments = found.where(F.col("kind") == SEGMENTS).repartition(n, "bucket").sortWithinPartitions("bucket", "block")
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bits = bucket_bits(size, common.partitions(spark), BUCKET_BYTES)
+    blocks = cut_blocks(docs, SHARD_BYTES, "shards")
+    answers = shared_anchors(blocks, bits, hot_shards)
+    found = candidates(blocks, answers, bits)
+    common.discard(answers)
+    segments = by_bucket(found.where(F.col("kind") == SEGMENTS), bits, "bucket", "block")
     merged = common.materialize(segments.mapInArrow(lambda b: runs(b, 1, merge_segments, skip=2), SENT_DDL), "suffix-repeats")
     messages = found.where(F.col("kind") != SEGMENTS).unionByName(merged)
 
@@ -417,7 +404,7 @@ def removed_bytes(docs: DataFrame, out: Callable[[pa.Array, list[tuple[bytes, np
             result[i] = (s.data[base : base + int(s.sizes[k])], first[a:b] - base, last[a:b] - base)
         yield out(ids, result)
 
-    return together(docs, messages, cut, schema)
+    return together(blocks, messages, cut, schema)
 
 
 def _kept(text: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -459,6 +446,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their repeated passages cut out, all columns kept, n_chars counted anew if there.
 
     A document that loses every byte goes. A character of which only some bytes repeat goes whole.
+
+    Null and empty texts stay, as empty. Documents are in order of their id, null last, and rows of equal ids in order of
+    their texts' hashes; of repeated rows one stays. Other columns, whatever their names, go along. An empty table gives no rows.
     """
     others = [c for c in docs.columns if c != "text"]
     d = docs.select(F.struct(*others).alias("doc_id"), "text")
