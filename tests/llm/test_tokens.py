@@ -60,7 +60,7 @@ def test_wavelet_matrix_queries():
     rng = np.random.default_rng(3)
     for n, top in ((0, 5), (1, 5), (511, 9), (512, 300), (5000, 50000)):
         a = rng.integers(0, top, n)
-        m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(a, 16).to_bytes(), n, 16)
+        m = wavelet.from_bytes(wavelet.write_shard(np.zeros(0), np.zeros(0, bool), np.zeros(0), a, 16)).matrix
         assert m.decode().tolist() == a.tolist()
         for i in rng.integers(0, max(n, 1), 20) if n else []:
             v = int(a[i])
@@ -72,9 +72,9 @@ def test_wavelet_matrix_queries():
 
 def test_token_files_round_trip(spark, plain):
     texts = [*HARD, None]
-    shards = wavelet.write_token_files(docs(spark, texts), shard_tokens=500)
-    assert shards.count() > 3
-    rows = sorted(wavelet.read_token_files(shards, with_ids=True).collect(), key=lambda r: r["doc_id"])
+    folder = wavelet.write_token_files(docs(spark, texts), shard_tokens=500)
+    assert spark.read.parquet(f"{folder}/index").count() > 3
+    rows = sorted(wavelet.read_token_files(spark, folder, with_ids=True).collect(), key=lambda r: r["doc_id"])
     want, start = {i * 3 % 31: plain(x) + [2] for i, x in enumerate(texts)}, 0
     assert [r["doc_id"] for r in rows] == sorted(want)
     for r in rows:
@@ -86,13 +86,35 @@ def test_token_files_round_trip(spark, plain):
 def test_empty_table(spark):
     none = docs(spark, ["x"]).limit(0)
     assert packing.pack(none).count() == 0
-    assert wavelet.read_token_files(wavelet.write_token_files(none)).count() == 0
+    assert wavelet.read_token_files(spark, wavelet.write_token_files(none)).count() == 0
 
 
 def test_token_files_keep_null_ids(spark, plain):
     rows = [(5, "a b"), (None, "null one"), (-(2**62), "c"), (2**62 + 1, "d"), (None, None), (2**62 + 2, "e")]
-    shards = wavelet.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), shard_tokens=3)
-    got = sorted(wavelet.read_token_files(shards, with_ids=True).collect(), key=lambda r: r["start"])
+    folder = wavelet.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), shard_tokens=3)
+    got = sorted(wavelet.read_token_files(spark, folder, with_ids=True).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None, None, -(2**62), 5, 2**62 + 1, 2**62 + 2]
     want = sorted((str(i), np.array(plain(x) + [2], "<u4").tobytes()) for i, x in rows)
     assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == want
+
+
+def test_token_files_of_repeated_ids_and_a_long_text(spark, plain):
+    rows = [(1, "a"), (1, "b"), (1, "a"), (2, "word other " * 60_000)]
+    folder = wavelet.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), shard_tokens=2)
+    got = sorted(wavelet.read_token_files(spark, folder, with_ids=True).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got[:-1]]).tolist()
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == sorted((i, np.array(plain(x) + [2], "<u4").tobytes()) for i, x in rows)
+
+
+def test_a_query_opens_few_sections(tmp_path):
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50_000, 2_000_000)
+    blob = wavelet.write_shard(np.arange(4), np.ones(4, bool), np.full(4, 500_000), ids, 16)
+    (tmp_path / "x.tmw").write_bytes(blob)
+    opened = wavelet.open_file(f"file://{tmp_path}/x.tmw").matrix
+    assert [opened.access(i) for i in (0, 1_234_567, 1_999_999)] == ids[[0, 1_234_567, 1_999_999]].tolist()
+    asked = []
+    few = wavelet.TokenFile(lambda at, size: asked.append(size) or blob[at : at + size])
+    value = int(ids[777])
+    assert few.matrix.count(value) == int((ids == value).sum()) and few.matrix.select(value, 0) == int(np.flatnonzero(ids == value)[0])
+    assert sum(asked) < len(blob) * 0.7 and few.documents()[2].tolist() == [500_000] * 4
