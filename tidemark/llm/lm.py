@@ -4,8 +4,9 @@ Counting never moves tokens. Each block of documents sends its distinct n-grams
 their counts, as sorted and compressed 64-bit hashes, to buckets of the hash; a bucket adds up what all blocks sent
 and answers each block with the totals, in the block's own order. An n-gram that every document holds costs a bucket one entry per
 block. The mixture weights, one set for each power of two of the context's count, come from expectation-maximisation
-over deleted counts: every training token is held out in turn, its own occurrence taken off all counts. Each step's sums are
-made where the blocks lie; the driver sees four numbers a class.
+over deleted counts: every training token is held out in turn, its own occurrence taken off all counts. For it, tokens are counted
+by class and by the ratios of their estimates, in steps of an octave's ``STEPS``-th part; a class's counts, which are bounded, go to one task, and
+the driver sees four weights a class.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 UNIGRAM, BIGRAM, TRIGRAM = KINDS = 0, 1, 2
 #: Text bytes of a block, and of what goes to one bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
-#: Steps of expectation-maximisation.
-ROUNDS = 15
+#: Rounds of expectation-maximisation.
+ROUNDS = 60
+#: Steps of an octave to which the ratios of estimates to the uniform one are rounded for the fit, and octaves above and below it that are told apart:
+#: at most (STEPS * OCTAVES + 1) ** 3 counts a class, whatever the corpus.
+STEPS, OCTAVES = 8, 40
 #: Classes of contexts: unseen; one word, by the power of two of its count, after two unseen together; two words, likewise.
 ONE, TWO, CLASSES = 1, 65, 129
 #: Weights of trigram, bigram, unigram and uniform estimate to start from, from the class on.
@@ -163,31 +167,51 @@ def filled(weights: dict[int, list[float]]) -> np.ndarray:
     return out
 
 
-def learn_weights(blocks: DataFrame, texts: int, n: int, v: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Mixture weights (class, estimate) that make the held-out training tokens likely, by expectation-maximisation."""
-    weights: dict[int, list[float]] = {}
+def deleted_cells(payload: bytes, texts: int, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, tokens) of a block's training tokens. A cell's bits: class, then three steps, 0 for an estimate of 0."""
+    kind, share = Counted(payload, texts).estimates(n, v, held_out=True)
+    cell = kind
+    for x in share[:3]:
+        step = np.rint(np.log2(np.maximum(x / share[3], 2.0**-OCTAVES)) * STEPS).astype(np.int64) + STEPS * OCTAVES // 4
+        cell = cell << 16 | np.where(x > 0, np.clip(step + 1, 1, STEPS * OCTAVES), 0)
+    return np.unique(cell, return_counts=True)
+
+
+def maximise(kind: int, cells: np.ndarray, tokens: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights of a class that make its held-out tokens likely."""
+    steps = np.stack([cells >> 32, cells >> 16, cells]) & 0xFFFF
+    likely = np.ones((4, len(cells)))
+    likely[:3] = np.where(steps > 0, 2.0 ** ((steps - 1 - STEPS * OCTAVES // 4) / STEPS), 0)
+    first = w = np.array(FIRST[TWO if kind >= TWO else ONE if kind else 0])
     for _ in range(rounds):
-        now = np.array([FIRST[TWO if k >= TWO else ONE if k else 0] for k in range(CLASSES)]) if not weights else filled(weights)
-
-        def expected(batches: Iterable[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((CLASSES, 4))
-            for _, payload in each_block(batches):
-                kind, share = Counted(payload, texts).estimates(n, v, held_out=True)
-                share *= now.T[:, kind]
-                share /= share.sum(axis=0)
-                sums += np.stack([np.bincount(kind, weights=x, minlength=CLASSES) for x in share], axis=1)
-            k, j = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(sums[k, j])], ["class", "estimate", "tokens"])
-
-        found = blocks.mapInArrow(expected, "class int, estimate int, tokens double").groupBy("class", "estimate").agg(F.sum("tokens").alias("tokens")).collect()  # at most CLASSES * 4
-        sums = np.zeros((CLASSES, 4))
-        for r in found:
-            sums[r["class"], r["estimate"]] = r["tokens"]
-        weights = {}
-        for k in np.flatnonzero(sums.sum(axis=1)).tolist():
-            w = np.maximum(sums[k] / sums[k].sum(), np.where(now[k] > 0, LEAST, 0))
-            weights[k] = (w / w.sum()).round(9).tolist()  # so the order in which tasks' sums are added doesn't show
-    return filled(weights)
+        share = likely * w[:, None]
+        w = (share / share.sum(axis=0)) @ tokens
+        w = np.maximum(w / w.sum(), np.where(first > 0, LEAST, 0))
+        w /= w.sum()
+    return w
+
+
+def learn_weights(blocks: DataFrame, texts: int, n: int, v: int) -> np.ndarray:
+    """Mixture weights (class, estimate) that make the held-out training tokens likely, by expectation-maximisation."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, payload in each_block(batches):
+            cells, tokens = deleted_cells(payload, texts, n, v)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(tokens)], ["cell", "tokens"])
+
+    def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = [b for b in batches if b.num_rows]
+        if held:
+            found = pa.Table.from_batches(held)
+            kind, cell, tokens = (found.column(i).to_numpy() for i in range(3))
+            cuts = [*np.flatnonzero(np.diff(kind, prepend=-1)).tolist(), len(kind)]
+            out = [(int(kind[a]), maximise(int(kind[a]), cell[a:b], tokens[a:b].astype(np.float64)).tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([w for _, w in out], pa.list_(pa.float64()))], ["class", "weights"])
+
+    cells = blocks.mapInArrow(count, "cell bigint, tokens bigint").groupBy("cell").agg(F.sum("tokens").alias("tokens"))
+    named = cells.select(F.shiftright("cell", 48).cast("int").alias("class"), "cell", "tokens")
+    fitted = named.repartitionById(CLASSES, F.col("class")).sortWithinPartitions("class", "cell").mapInArrow(fit, "class int, weights array<double>")
+    return filled({r["class"]: r["weights"] for r in fitted.collect()})
 
 
 def score_texts(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
