@@ -78,3 +78,81 @@ def test_ftrl_bias_and_sparsity():
         m.learn(np.array([3]), 1)
         m.learn(np.array([5]), 0)
     assert m.weights()[3] > 0 > m.weights()[5] and np.count_nonzero(m.weights()) == 2
+
+
+def plain_ftrl(rows, epochs, alpha=0.5, beta=1.0, l1=8.0, l2=0.5):
+    """The published update, a coordinate at a time."""
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, y in rows:
+            b = -bz / ((beta + bn**0.5) / alpha)
+            w = {i: weight(i) for i in features}
+            g = 1 / (1 + np.exp(-(b + sum(w.values())))) - y
+            for i in features:
+                old = n.get(i, 0.0)
+                sigma = ((old + g * g) ** 0.5 - old**0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], old + g * g
+            bz += g - ((bn + g * g) ** 0.5 - bn**0.5) / alpha * b
+            bn += g * g
+    return {i: weight(i) for i in z if weight(i)}, -bz / ((beta + bn**0.5) / alpha)
+
+
+def test_fit_equals_plain_ftrl(spark):
+    docs, labels, _ = corpus(spark, 400)
+    rows = toxicity.training_rows(docs, labels, "toxic", 5, 0, 300)
+    at, weights, bias = toxicity.fit(rows)
+    data = []
+    for r in rows.orderBy("h").collect():
+        found = gram_features([r["text"].encode()], toxicity.BITS)
+        data.append((sorted(set(found[1].tolist())), r["y"]))
+    want, want_bias = plain_ftrl(data, 4)
+    assert dict(zip(at.tolist(), weights.tolist(), strict=True)) == pytest.approx(want) and bias == pytest.approx(want_bias) and len(want) > 3
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.95])
+def test_risk_slopes_are_the_gradient(prior):
+    rng = np.random.default_rng(2)
+    fp, fu = rng.normal(size=7) + 1, rng.normal(size=9)
+    loss = lambda x: np.log1p(np.exp(-x))
+    rest = lambda a, b: loss(-b).mean() - prior * loss(-a).mean()
+    goal = (lambda a, b: prior * loss(a).mean() + rest(a, b)) if rest(fp, fu) >= 0 else (lambda a, b: -rest(a, b))
+    p, u = quality.risk_slopes(fp, fu, prior)
+    for k in range(16):
+        step = np.zeros(16)
+        step[k] = 1e-6
+        slope = (goal(fp + step[:7], fu + step[7:]) - goal(fp - step[:7], fu - step[7:])) / 2e-6
+        assert slope == pytest.approx([*p, *u][k], abs=1e-6)
+
+
+def test_prior_and_cut_by_plain_search():
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.normal(2, 1, 4000).round(2), np.concatenate([rng.normal(2, 1, 3000), rng.normal(-2, 1, 2000)]).round(2)
+    assert quality.class_prior(positive, unlabelled) == pytest.approx(0.6, abs=0.05)
+    at = sorted({*positive.tolist(), *unlabelled.tolist()})
+    risk = {c: 0.6 * (positive < c).mean() + max(0, (unlabelled >= c).mean() - 0.6 * (positive >= c).mean()) for c in at}
+    cut = quality.risk_cut(positive, unlabelled, 0.6)
+    above = min(c for c in at if c >= cut)
+    assert risk[above] == pytest.approx(min(risk.values()), abs=1e-9)
+
+
+@pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
+def test_repeated_ids_are_one_row_of_the_fit(spark, run):
+    docs, labels, _ = corpus(spark, 300)
+    one = docs.where("doc_id = 1")
+    many = docs
+    for _ in range(3):
+        many = many.unionByName(one)
+    got, want = ({r["doc_id"]: r["score"] for r in run(d, labels).collect()} for d in (many, docs))
+    assert got == pytest.approx(want)
+
+
+def test_accepted_keeps_all_without_labels(spark):
+    docs, labels, _ = corpus(spark, 60)
+    assert toxicity.accepted(docs, labels.limit(0)).count() == 60

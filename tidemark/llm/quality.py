@@ -2,7 +2,9 @@
 
 Trusted positives P and unlabelled text U fit a linear model by minimising
 prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]), l the logistic loss. No
-negative is ever shown to the model.
+negative is ever shown to the model: the class prior is estimated from the same two samples (best bin: the smallest ratio of the
+shares of U and P above a score, on halves that the scores weren't fitted on), and the cut is where the same risk with
+errors counted, not weighed, is smallest.
 """
 
 from __future__ import annotations
@@ -19,14 +21,45 @@ from .features import quality_features
 from .toxicity import judge
 
 BITS = 18
-#: Positives and unlabelled documents that the fit uses at most: those of the smallest hashes of their id.
-MOST_POSITIVE, MOST_UNLABELLED = 5_000, 10_000
+#: Positives and unlabelled documents that the fit uses at most: those of the smallest hashes of their id; and features of all of them.
+MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 5_000, 10_000, 30_000_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def risk_slopes(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Along which slopes of the margins of positives and unlabelled rows the non-negative risk is descended."""
+    loss = lambda x: np.logaddexp(0, -x)
+    down_p, down_u = prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
+    if loss(-fu).mean() >= prior * loss(-fp).mean():
+        return -prior * _sigmoid(-fp) / len(fp) - down_p, down_u
+    return down_p, -down_u  # the part that can't be negative is: go back up along it
+
+
+def shares_above(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every score that occurs, and the shares of positives and of unlabelled rows that reach it."""
+    at = np.unique(np.concatenate([positive, unlabelled]))
+    return at, *(1 - np.searchsorted(np.sort(x), at, "left") / len(x) for x in (positive, unlabelled))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1, slack: float = 0.01) -> float:
+    """Share of positives among the unlabelled by their scores: the ratio of shares above a score, where its upper bound is smallest."""
+    _, p, u = shares_above(positive, unlabelled)
+    width = sum((np.log(4 / doubt) / (2 * len(x))) ** 0.5 for x in (positive, unlabelled))
+    p, u = p[p > 0], u[p > 0]
+    best = int(np.argmin((u + (1 + slack) * width) / p))
+    return float(min(max(u[best] / p[best], 0.01), 0.99))
+
+
+def risk_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The smallest margin, half way to the one below it, above which taking rows as positive has the least non-negative risk."""
+    at, p, u = shares_above(positive, unlabelled)
+    best = int(np.argmin(prior * (1 - p) + np.maximum(0, u - prior * p)))
+    return float((at[best] + at[max(best - 1, 0)]) / 2)
+
+
 class PuModel:
     """Linear model over sparse rows, fitted by AdaGrad on mixed batches."""
 
@@ -52,6 +85,16 @@ class PuModel:
         self.bg += gb * gb
         self.b -= self.rate * gb / self.bg**0.5
 
+    def tell_apart(self, positive: list, unlabelled: list, epochs: int = 3, batch: int = 128, seed: int = 5) -> None:
+        """Logistic regression of positives against unlabelled rows."""
+        rng = np.random.default_rng(seed)
+        for _ in range(epochs):
+            order = rng.permutation(len(unlabelled))
+            for i in range(0, len(order), batch):
+                u = [unlabelled[k] for k in order[i : i + batch]]
+                p = [positive[k] for k in rng.integers(0, len(positive), len(u))]
+                self.step(p + u, np.concatenate([-_sigmoid(-self.margins(p)), _sigmoid(self.margins(u))]) / len(u))
+
     def fit(self, positive: list, unlabelled: list, prior: float, epochs: int = 8, batch: int = 128, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
@@ -59,35 +102,31 @@ class PuModel:
             for i in range(0, len(order), 2 * batch):
                 u = [unlabelled[k] for k in order[i : i + 2 * batch]]
                 p = [positive[k] for k in rng.integers(0, len(positive), batch)]
-                fp, fu = self.margins(p), self.margins(u)
-                loss = lambda x: np.logaddexp(0, -x)
-                rest = loss(-fu).mean() - prior * loss(-fp).mean()
-                down_p, down_u = prior * _sigmoid(fp) / len(p), _sigmoid(fu) / len(u)
-                if rest >= 0:
-                    self.step(p + u, np.concatenate([-prior * _sigmoid(-fp) / len(p) - down_p, down_u]))
-                else:  # the part that can't be negative is: go back up along it
-                    self.step(p + u, np.concatenate([down_p, -down_u]))
-        # The class prior also tells where to cut: that share of the unlabelled text is positive, and a
-        # twentieth of the rest is let through in doubt.
-        self.b -= float(np.quantile(self.margins(unlabelled), 0.95 * (1 - prior)))
+                self.step(p + u, np.concatenate(risk_slopes(self.margins(p), self.margins(u), prior)))
+        self.b -= risk_cut(self.margins(positive), self.margins(unlabelled), prior)
+
+
+def estimated_prior(positive: list, unlabelled: list, bits: int) -> float:
+    """The class prior, by scores of the halves that a model of the other halves gives."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    model = PuModel(bits)
+    model.tell_apart(positive[::2], unlabelled[::2])
+    return class_prior(model.margins(positive[1::2]), model.margins(unlabelled[1::2]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most_positive: int, most_unlabelled: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias), fitted in one task on a bounded sample of the training rows.
 
-    The class prior is the share of positives among the labelled training rows.
+    Of rows that share an id the smallest text counts. Rows that would bring the sample above ``MOST_FEATURES`` are left out, by the order of their hashes.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (common.crc_share("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    share = known.agg(F.avg("y")).head()[0]
-    if share is None:
-        return np.zeros(0, np.int64), np.zeros(0), 0.0
-    prior = float(min(max(share, 0.01), 0.99))
     h = F.xxhash64("_id")
     positive = known.where("y = 1").select(F.col("doc_id").alias("_id"), F.lit(1).alias("y")).orderBy(h, "_id").limit(most_positive)
     pool = docs.where(F.col("doc_id").isNotNull() & (common.crc_share("doc_id", folds) != held_out)).select(F.col("doc_id").alias("_id"), F.lit(0).alias("y"))
     unlabelled = pool.orderBy(F.xxhash64(F.lit(1), "_id"), "_id").limit(most_unlabelled)
     chosen = F.broadcast(positive.unionByName(unlabelled))  # bounded by the two limits
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(chosen, "_id").select(h.alias("h"), "y", "text")
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(chosen, "_id").groupBy(h.alias("h"), "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in common.slices(batches, "text"):
@@ -98,12 +137,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most_posi
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: tuple[list, list] = ([], [])
+        room = MOST_FEATURES
         for b in batches:
             for y, f, v in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
-                sides[y].append((np.frombuffer(f, "<u4").astype(np.int32), np.frombuffer(v, "<f4")))
+                room -= len(f) // 4
+                if room >= 0:
+                    sides[y].append((np.frombuffer(f, "<u4").astype(np.int32), np.frombuffer(v, "<f4")))
         model = PuModel(bits)
         if sides[0] and sides[1]:
-            model.fit(sides[1], sides[0], prior)
+            model.fit(sides[1], sides[0], estimated_prior(sides[1], sides[0], bits))
         at = np.flatnonzero(model.w)
         yield pa.RecordBatch.from_arrays([pa.array([model.b]), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([model.w[at].astype("<f8").tobytes()], pa.binary())], ["bias", "features", "weights"])
 
@@ -134,7 +176,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
     """One row per document: doc_id, held_out, score, predicted.
 
     Learns from rows outside fold ``held_out`` of crc32(doc_id) mod ``folds``. Null and empty texts are scored by their
-    statistics like any other. Null labels and ids are not learnt from; a null id is not held out. Repeated rows score alike.
+    statistics like any other. Only labels 1 are used. Null labels and ids are not learnt from; a null id is not held out. Repeated rows score alike.
     Without labels every score is 0.5. An empty table gives no rows. Other columns play no part.
     """
     common.tune(docs.sparkSession)

@@ -14,8 +14,8 @@ from .features import distinct, gram_features
 
 #: Features are hashed to so many bits.
 BITS = 22
-#: Labelled documents that the fit uses at most: those of the smallest hashes of their id.
-MOST_TRAINING = 16_000
+#: Labelled documents that the fit uses at most: those of the smallest hashes of their id; and features of all of them.
+MOST_TRAINING, MOST_FEATURES = 16_000, 60_000_000
 
 
 class Ftrl:
@@ -45,15 +45,18 @@ class Ftrl:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """h, y, text of at most ``most`` labelled training documents, by the smallest hashes of their ids."""
+    """h, y, text of at most ``most`` labelled training documents, by the smallest hashes of their ids; of rows that share an id the smallest text."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (common.crc_share(id_col, folds) != held_out)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.withColumn("h", F.xxhash64("_id")).orderBy("h", "_id").limit(most)
     # At most ``most`` rows of three numbers, so their broadcast is bounded.
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("h", "y", "text")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").groupBy("h", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def fit(rows: DataFrame, bits: int = BITS, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias): the weights that are not zero, from rows (h, y, text), learnt in order of h in one task."""
+    """(features, weights, bias): the weights that are not zero, from rows (h, y, text), learnt in order of h in one task.
+
+    Rows that would bring the sample above ``MOST_FEATURES`` are left out, in that order.
+    """
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in common.slices(batches, "text"):
@@ -63,7 +66,12 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = 4) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], ["h", "y", "features"])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(f, "<u4"), y) for b in batches for y, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        rows, room = [], MOST_FEATURES
+        for b in batches:
+            for y, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                room -= len(f) // 4
+                if room >= 0:
+                    rows.append((np.frombuffer(f, "<u4"), y))
         if not rows:
             return
         model = Ftrl(bits)
@@ -127,11 +135,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
 
 
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most_training: int = MOST_TRAINING) -> DataFrame:
-    """The documents, all columns kept, that ``toxicity`` doesn't predict as toxic."""
+    """The documents, all columns kept, that ``toxicity`` doesn't predict as toxic.
+
+    Null and empty texts have the score of the bias and stay or go by it; without labels every document would go at 0.5, so
+    all stay then. Repeated rows stay or go alike. Null ids are judged like others. Other columns, whatever their names, go along. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     common.tune(spark)
     bits = BITS
-    sent = spark.sparkContext.broadcast(fit(training_rows(docs, labels, "toxic", folds, held_out, most_training)))
+    model = fit(training_rows(docs, labels, "toxic", folds, held_out, most_training))
+    if not len(model[0]) and not model[2]:
+        return docs
+    sent = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = dense(sent.value, bits)
