@@ -99,3 +99,27 @@ def test_pipeline_runs_whole(spark):
     rows = out.collect()
     assert rows and all(r["length"] in {1 << k for k in range(11)} for r in rows)
     assert len({r["sequence_id"] for r in rows}) == len(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_key", "_id", "_times", "key", "row", "order", "times", "i", "h", "group", "node", "part", "block", "kind", "payload", "size", "bucket", "copies"]
+    docs = make(spark, [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (2, None, "en", None, 0), (3, "d e f g", "de", "t", 7)])
+    docs = docs.selectExpr("*", *(f"cast({i} as int) AS `{n}`" for i, n in enumerate(names)), "map('a', 1) AS held")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        for r in found.collect():
+            assert [r[n] for n in names] == list(range(len(names))) and r["held"] == {"a": 1}
+
+
+def test_rows_of_one_id_and_text_leave_the_same_one(spark):
+    docs = make(spark, [(1, "a b c", lang, "s", 5) for lang in ("en", "de", "fr", None)])
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix):
+        found = {tuple(r) for n in (1, 4) for r in stage(spark, docs.repartition(n), SF).collect()}
+        assert len(found) == 1
+
+
+def test_repeated_rows_are_mixed_in_any_number(spark):
+    docs = make(spark, [(7, "a b", "en", "s", 0)] * 500 + [(i, "x y z", "en", "s", 0) for i in range(20)])
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == 520 and sum(r["taken"] for r in got) == int(got[0]["target"]) and len({r["place"] for r in got}) == 520

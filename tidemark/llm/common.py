@@ -113,6 +113,17 @@ def ordered(df: DataFrame, keys: list[str], name: str, weights: dict[str, str] |
     return out.drop("_m")
 
 
+def one_of_each(docs: DataFrame, keys: list[F.Column]) -> DataFrame:
+    """key (a struct of c0, c1, ...), row (a struct of all columns, so no names clash): one row for each key, that of the smallest hash of its columns.
+
+    Columns of maps, which can't be hashed, don't count for the hash.
+    """
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    key = F.struct(*(k.alias(f"c{i}") for i, k in enumerate(keys)))
+    named = docs.select(key.alias("key"), F.xxhash64(*plain).alias("order"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return named.groupBy("key").agg(F.min_by("row", "order").alias("row"))
+
+
 #: Called when a worker turns to other texts: what an operator kept in this process for its next task.
 HELD: list = []
 

@@ -67,8 +67,8 @@ def mix_sources(
     the budget ends is cut there, so each source's sum is the floor of its target.
 
     Nulls: a null text has size 0, a null source is a source of its own (last), a null id
-    is kept. Rows with equal id and text are told apart by nothing and so share the
-    work in any order; the multiset of rows returned is the same on every run. An empty
+    is kept. Rows with equal id, text and source are told apart by nothing: they are counted first, however
+    many, and stand one after the other; the multiset of rows returned is the same on every run. An empty
     table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -79,20 +79,32 @@ def mix_sources(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), text_hash.alias("text_hash")),
         "mix-sizes",
     )
+    # Rows that nothing tells apart are one row with their number from here on.
+    same = ["id", "source", "size", "key", "text_hash"]
+    sized = common.materialize(sized.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")), "mix-rows").withColumn("weight", F.col("size") * F.col("copies"))
     # Bits of the key that name a bucket: from the number of rows, which the written table's footers tell.
-    bits = max(0, (sized.count() // BUCKET_ROWS).bit_length())
-    sized = sized.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 12), 16, 10).cast("long"), 48 - min(bits, 48)))
-    by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    sizes = by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
+    bits = min(48, max(0, (sized.count() // BUCKET_ROWS).bit_length()))
+    sized = sized.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 12), 16, 10).cast("long"), 48 - bits))
+    # Two levels of prefix sums, so that no task holds all buckets of a source.
+    by_bucket = sized.groupBy("source", "bucket").agg(F.sum("weight").alias("bucket_size")).withColumn("shelf", F.shiftright("bucket", bits // 2))
+    by_shelf = by_bucket.groupBy("source", "shelf").agg(F.sum("bucket_size").alias("shelf_size"))
+    sizes = by_shelf.groupBy("source").agg(F.sum("shelf_size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "_s")
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        by_bucket.withColumn("base", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
+    earlier = Window.partitionBy("source").orderBy("shelf").rowsBetween(Window.unboundedPreceding, -1)
+    shelves = (
+        by_shelf.withColumn("under", F.coalesce(F.sum("shelf_size").over(earlier), F.lit(0)))
         .join(targets, F.col("source").eqNullSafe(F.col("_s")))
-        .select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "base", "source_size", "target")
+        .select(F.col("source").alias("_s"), F.col("shelf").alias("_f"), "under", "source_size", "target")
+    )
+    beside = Window.partitionBy("source", "shelf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        by_bucket.withColumn("beside", F.coalesce(F.sum("bucket_size").over(beside), F.lit(0)))
+        .join(shelves, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shelf") == F.col("_f")))
+        .select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), (F.col("under") + F.col("beside")).alias("base"), "source_size", "target")
     )
     inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
+    placed = sized.withColumn("inside", F.coalesce(F.sum("weight").over(inside), F.lit(0))).join(bases, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).withColumn("inside", F.col("inside") + F.col("copy") * F.col("size"))
     goal = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0))
     rest = goal - F.col("epochs") * F.col("source_size")
@@ -120,16 +132,16 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Documents stay whole: the one in which its source's budget ends is taken if half of it or more is
     within; a document without words goes with the place it stands at. Rows with equal id and text
-    are taken as one document that is there that many times.
+    are taken as one document that is there that many times; where they differ in other columns, the row of the smallest hash of its columns stands for them.
+    Null ids, texts and sources as in ``mix_sources``. Other columns, whatever their names, go along. An empty table gives no rows.
     """
-    name = [F.col("doc_id").alias("_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_hash")]
-    keyed = docs.select("*", *name)
     taken = mix_sources(docs.select("doc_id", "text", "source"), **how)
     part = F.col("taken") - F.col("epochs") * F.col("size")
     times = F.col("epochs") + F.when(F.col("size") > 0, (2 * part >= F.col("size")).cast("long")).otherwise((F.col("place") < F.col("rest")).cast("long"))
-    counts = taken.groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.sum(times).alias("_times")).where("_times > 0")
-    whole = keyed.dropDuplicates(["_id", "_hash"]).join(counts, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
-    return whole.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    counts = taken.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).agg(F.sum(times).alias("times")).where("times > 0")
+    whole = common.one_of_each(docs, [F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))])
+    joined = whole.join(counts, F.col("key.c0").eqNullSafe(F.col("i")) & (F.col("key.c1") == F.col("h")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -496,11 +496,17 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents without near-duplicates: of each group the row of the smallest (doc_id, hash of the text) stays. All columns are kept."""
-    key = F.struct(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("hash"))
-    found = similar_groups(docs.select(key.alias("_key"), "text"), "_key", "text", width, similarity).select(F.col("key").alias("doc_id"), F.col("group").alias("component_id"))
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").select(*docs.columns)
+    """The documents without near-duplicates: of each group the row of the smallest (doc_id, hash of the text) stays, with all columns.
+
+    Null, empty and blank texts are one group. A null id is smaller than any. Of rows with equal id and text that differ in other columns the row of
+    the smallest hash of its columns stays; repeated rows leave one. Other columns, whatever their names, go along. An empty table gives no rows.
+    """
+    keys = [F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))]
+    key = F.struct(*(k.alias(f"c{i}") for i, k in enumerate(keys)))
+    found = similar_groups(docs.select(key.alias("key"), "text"), "key", "text", width, similarity)
+    stay = found.where("key = group").select(F.col("key").alias("stays")).distinct()
+    rows = common.one_of_each(docs, keys)
+    return rows.join(stay, F.col("key") == F.col("stays"), "left_semi").select("row.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
