@@ -57,7 +57,7 @@ def ordered_scan(ops: DataFrame) -> DataFrame:
     """``tombstones`` in key order, with the place in it."""
     from .order import numbered
 
-    return numbered(tombstones(ops), [], F.substring("key", 1, 2), ["key"], "place").orderBy("key")
+    return numbered(tombstones(ops), [], ["key"], "place").orderBy("key")
 
 
 def overwrites(ops: DataFrame) -> DataFrame:

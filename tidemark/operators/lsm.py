@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Config
-from ..functions.scalar import portable_hash, record_bytes, value_crc
+from ..functions.scalar import record_bytes, value_crc
 from ..sources.oplog import SQL
 from . import kv
-from .order import day, numbered, running
-
-#: Buffers that the log is dealt to by key, each flushed by itself.
-SHARDS = 16
-
+from .order import numbered, running
 
 def wal_segments(ops: DataFrame, size: int) -> DataFrame:
     """The log cut into segments of ``size`` records in arrival order: seq, segment, key, op."""
-    n = numbered(ops, [], day(), ["ts", "seq"], "n")
+    n = numbered(ops, [], ["ts", "seq"], "n")
     return n.select("seq", (F.floor((F.col("n") - 1) / size) + 1).cast("bigint").alias("segment"), "key", "op")
 
 
 def wal_replay(ops: DataFrame, size: int) -> DataFrame:
     """State after replaying segments in order: the last record of each key over (segment, place)."""
-    n = numbered(ops, [], day(), ["ts", "seq"], "n")
+    n = numbered(ops, [], ["ts", "seq"], "n")
     return n.groupBy("key").agg(F.max_by(F.struct("op", "value", "seq"), "n").alias("l"), (F.floor((F.max("n") - 1) / size) + 1).cast("bigint").alias("segment")).select("key", (F.col("l.op") == "delete").alias("tombstone"), F.when(F.col("l.op") == "put", F.col("l.value")).alias("value"), F.col("l.seq").alias("seq"), "segment")
 
 
@@ -41,46 +33,6 @@ def split_corrupt(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.where(ok), records.where(~ok)
 
 
-def shard_of(key: F.Column, shards: int = SHARDS) -> F.Column:
-    return F.pmod(portable_hash(key, 0), F.lit(shards)).cast("int")
-
-
-def flush_plan(ops: DataFrame, config: Config, shards: int = SHARDS) -> DataFrame:
-    """The flushes that the log causes: shard, gen, n_ops, n_keys, first_seq, last_seq; the last gen may be unflushed.
-
-    Only operations that take effect reach a buffer. A put that finds ``flush_keys`` distinct keys
-    in the buffer flushes it; deletes add keys and never flush. A buffer is sequential by nature, so it is one group in order
-    of time, read as a stream with a set of at most ``flush_keys`` keys and those of deletes as its state; buffers run in parallel.
-    """
-    limit = config.flush_keys
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
-        for frame in frames:
-            out = []
-            for shard, key, op, seq in zip(frame["shard"], frame["key"], frame["op"], frame["seq"], strict=True):
-                if state.get("shard") != shard:
-                    if state.get("n"):
-                        out.append((state["shard"], state["gen"], state["n"], len(state["keys"]), state["first"], state["last"], False))
-                    state = {"shard": shard, "gen": 1, "n": 0, "keys": set(), "first": seq, "last": seq}
-                if not state["n"]:
-                    state["first"] = seq
-                state["n"] += 1
-                state["last"] = seq
-                state["keys"].add(key)
-                if op == "put" and len(state["keys"]) >= limit:
-                    out.append((shard, state["gen"], state["n"], len(state["keys"]), state["first"], seq, True))
-                    state |= {"gen": state["gen"] + 1, "n": 0, "keys": set()}
-            yield pd.DataFrame(out, columns=["shard", "gen", "n_ops", "n_keys", "first_seq", "last_seq", "flushed"])
-        if state.get("n"):
-            yield pd.DataFrame([(state["shard"], state["gen"], state["n"], len(state["keys"]), state["first"], state["last"], False)], columns=["shard", "gen", "n_ops", "n_keys", "first_seq", "last_seq", "flushed"])
-
-    dealt = kv.effective(ops).select(shard_of(F.col("key"), shards).alias("shard"), "key", "op", "ts", "seq")
-    n = min(shards, int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = dealt.repartition(n, "shard").sortWithinPartitions("shard", "ts", "seq").select("shard", "key", "op", "seq")
-    return ordered.mapInPandas(fold, "shard int, gen int, n_ops bigint, n_keys bigint, first_seq bigint, last_seq bigint, flushed boolean")
-
-
 def day_number(ts: str) -> F.Column:
     return F.unix_date(F.to_date(ts)).cast("int")
 
@@ -95,7 +47,7 @@ def runs(ops: DataFrame) -> DataFrame:
 
 def run_index(run: DataFrame) -> DataFrame:
     """Byte offsets of each record in its run's data and index: level, gen, key, data_offset, index_offset."""
-    r = running(run, ["level", "gen"], F.substring("key", 1, 1), ["key"], {"data_offset": record_bytes(F.col("key"), F.col("value")), "index_offset": F.lit(16) + F.octet_length("key")})
+    r = running(run, ["level", "gen"], ["key"], {"data_offset": record_bytes(F.col("key"), F.col("value")), "index_offset": F.lit(16) + F.octet_length("key")})
     return r.select("level", "gen", "key", "data_offset", "index_offset")
 
 
@@ -115,12 +67,18 @@ def manifest(run: DataFrame) -> DataFrame:
     return run.select("level", "gen").distinct().withColumn("component", F.explode(F.lit(parts))).withColumn("path", path)
 
 
-def compact_two(older: DataFrame, newer: DataFrame) -> DataFrame:
-    """Merge of two runs by key: the newer record wins; where it is the tombstone of an older record both go."""
+def compact_two(older: DataFrame, newer: DataFrame, bottom: bool = True) -> DataFrame:
+    """Merge of two runs by key: the newer record wins.
+
+    ``bottom``: nothing lies below the two, so where the newer one is the tombstone of an older record both go. Else tombstones stay, for a
+    deeper record would come back.
+    """
     cols = ["value", "tombstone", "ts", "crc"]
     o = older.select("key", F.struct(*cols).alias("o"))
     n = newer.select("key", F.struct(*cols).alias("n"))
-    both = o.join(n, "key", "full_outer").where(~(F.col("o").isNotNull() & F.coalesce(F.col("n.tombstone"), F.lit(False))))
+    both = o.join(n, "key", "full_outer")
+    if bottom:
+        both = both.where(~(F.col("o").isNotNull() & F.coalesce(F.col("n.tombstone"), F.lit(False))))
     return both.select("key", F.coalesce("n", "o").alias("r")).select("key", "r.*")
 
 
@@ -139,10 +97,10 @@ def layered_get(ops: DataFrame, run: DataFrame, keys: DataFrame) -> DataFrame:
     last_day = ops.agg(F.max(day_number("ts")).alias("d"))
     buffer = kv.latest(ops.withColumn("d", day_number("ts")).join(F.broadcast(last_day), "d"))
     layers = (
-        buffer.select("key", F.lit(0).alias("layer"), "value", (F.col("op") == "delete").alias("tombstone"))
-        .unionByName(run.join(F.broadcast(last_day), F.col("gen") < F.col("d")).select("key", (1_000_000 * F.col("level") - F.col("gen")).alias("layer"), "value", "tombstone"))
+        buffer.select("key", F.lit(0).alias("level"), F.lit(0).alias("newest"), F.lit(0).alias("layer"), "value", (F.col("op") == "delete").alias("tombstone"))
+        .unionByName(run.join(F.broadcast(last_day), F.col("gen") < F.col("d")).select("key", "level", (-F.col("gen")).alias("newest"), (1_000_000 * F.col("level") - F.col("gen")).alias("layer"), "value", "tombstone"))
     )
-    found = layers.groupBy("key").agg(F.min_by(F.struct("layer", "value", "tombstone"), "layer").alias("f"))
+    found = layers.groupBy("key").agg(F.min_by(F.struct("layer", "value", "tombstone"), F.struct("level", "newest")).alias("f"))
     out = keys.join(found, "key", "left")
     state = F.when(F.col("f").isNull(), "MISSING").when(F.col("f.tombstone"), "DELETED").otherwise("FOUND")
     return out.select("key", state.alias("status"), F.when(~F.col("f.tombstone"), F.col("f.value")).alias("value"), F.col("f.layer").alias("layer"))
@@ -183,7 +141,7 @@ def merkle_roots(leaves: DataFrame, by: list[str]) -> DataFrame:
 
 def run_leaves(run: DataFrame) -> DataFrame:
     """Values of each run in key order, for ``merkle_roots``."""
-    return running(run, ["level", "gen"], F.substring("key", 1, 1), ["key"], {"slot": F.lit(1)}).select("level", "gen", "slot", "value")
+    return running(run, ["level", "gen"], ["key"], {"slot": F.lit(1)}).select("level", "gen", "slot", "value")
 
 
 _RUNS = f"""WITH {SQL},
@@ -195,18 +153,6 @@ ORACLES = {
     "wal_segments": _N + " SELECT seq, (n - 1) // 5 + 1 AS segment, key, op FROM n",
     "wal_replay": _N + """, r AS (SELECT key, arg_max(struct_pack(op := op, value := value, seq := seq), n) AS l, (max(n) - 1) // 5 + 1 AS segment FROM n GROUP BY key)
       SELECT key, l.op = 'delete' AS tombstone, CASE WHEN l.op = 'put' THEN l.value END AS value, l.seq AS seq, segment FROM r""",
-    "flush_plan": f"""WITH RECURSIVE {SQL},
-      o AS (SELECT *, lag(op) OVER (PARTITION BY key ORDER BY ts, seq) AS before FROM ops),
-      e AS (SELECT (('0x' || substr(md5('0:' || key), 1, 8))::BIGINT % 16)::INT AS shard, key, op, seq, ts FROM o WHERE op = 'put' OR before = 'put'),
-      i AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts, seq) AS i FROM e),
-      f AS (SELECT DISTINCT shard, 0::BIGINT AS i, 1 AS gen, []::VARCHAR[] AS keys, false AS closed, NULL::BIGINT AS seq, 0::BIGINT AS size FROM i
-            UNION ALL
-            SELECT * FROM (
-              SELECT g.shard, g.i, g.gen, CASE WHEN g.full THEN []::VARCHAR[] ELSE g.keys END AS keys, g.full AS closed, g.seq, len(g.keys)::BIGINT AS size FROM (
-                SELECT *, op = 'put' AND len(keys) >= 7 AS full FROM (
-                  SELECT f.shard, i.i, f.gen + f.closed::INT AS gen, i.op, i.seq, CASE WHEN list_contains(f.keys, i.key) THEN f.keys ELSE list_append(f.keys, i.key) END AS keys
-                  FROM f JOIN i ON i.shard = f.shard AND i.i = f.i + 1)) g))
-      SELECT shard, gen, count(*) AS n_ops, arg_max(size, i) AS n_keys, arg_min(seq, i) AS first_seq, arg_max(seq, i) AS last_seq, bool_or(closed) AS flushed FROM f WHERE i > 0 GROUP BY shard, gen""",
     "sstable_index": _RUNS + """ SELECT level, gen, key,
         coalesce(sum(29 + strlen(key) + strlen(value)) OVER w, 0)::BIGINT AS data_offset, coalesce(sum(16 + strlen(key)) OVER w, 0)::BIGINT AS index_offset
       FROM run WINDOW w AS (PARTITION BY level, gen ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",

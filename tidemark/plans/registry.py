@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..config import Config
-from ..operators import admission, kv, lsm, sketches, text
+from ..operators import admission, flush, kv, lsm, sketches, text
 from ..sources.oplog import read_events
 from ..streaming import oplog_stream
 
@@ -34,6 +35,20 @@ def _runs(spark, d):
     return lsm.runs(_ops(spark, d))
 
 
+def _buffers(spark, d):
+    """Written once, for level 0 and level 1 are both taken from it."""
+    return storage.materialize(flush.buffers(flush.generations(_ops(spark, d), CONFIG)), "buffers")
+
+
+def _levels(spark, d):
+    return flush.cascade(_buffers(spark, d).where("level = 1"), CONFIG)
+
+
+def _levels_get(spark, d):
+    found = _buffers(spark, d)
+    return flush.lookup(found.where("level = 0"), flush.cascade(found.where("level = 1"), CONFIG), _asked(spark, d))
+
+
 def _two(spark, d):
     r = _runs(spark, d)
     return lsm.compact_two(r.where("gen = 19723"), r.where("gen = 19724")).drop("crc")
@@ -45,16 +60,16 @@ def _stream(spark, d):
 
 
 def _stream_snapshot(spark, d):
-    out = oplog_stream.drain(oplog_stream.latest_stream(_stream(spark, d)), oplog_stream.scratch(spark, "snapshot"), "complete")
+    out = oplog_stream.drain(oplog_stream.latest_stream(_stream(spark, d)), storage.scratch(spark, "snapshot"), "complete")
     return out.where("op <> 'delete'").drop("op")
 
 
 def _stream_bucket(spark, d):
-    return oplog_stream.drain(oplog_stream.token_bucket_stream(_stream(spark, d), *BUCKET), oplog_stream.scratch(spark, "bucket"), "append")
+    return oplog_stream.drain(oplog_stream.token_bucket_stream(_stream(spark, d), *BUCKET), storage.scratch(spark, "bucket"), "append")
 
 
 def _stream_cms(spark, d):
-    return oplog_stream.drain(oplog_stream.cms_stream(_stream(spark, d), CONFIG.cms_epsilon, CONFIG.cms_delta), oplog_stream.scratch(spark, "cms"), "complete")
+    return oplog_stream.drain(oplog_stream.cms_stream(_stream(spark, d), CONFIG.cms_epsilon, CONFIG.cms_delta), storage.scratch(spark, "cms"), "complete")
 
 
 _CMS = (CONFIG.cms_epsilon, CONFIG.cms_delta)
@@ -71,7 +86,10 @@ QUERIES = {
     "wal_segments": lambda s, d: lsm.wal_segments(_ops(s, d), CONFIG.wal_size),
     "wal_replay": lambda s, d: lsm.wal_replay(_ops(s, d), CONFIG.wal_size),
     "wal_record_crc": lambda s, d: lsm.wal_records(_ops(s, d)),
-    "flush_plan": lambda s, d: lsm.flush_plan(_ops(s, d), CONFIG),
+    "flush_plan": lambda s, d: flush.flush_plan(_ops(s, d), CONFIG),
+    "lsm_flush_runs": lambda s, d: _buffers(s, d).drop("crc"),
+    "lsm_cascade": lambda s, d: _levels(s, d).drop("crc"),
+    "lsm_levels_get": _levels_get,
     "sstable_index": lambda s, d: lsm.run_index(_runs(s, d)),
     "sstable_summary": lambda s, d: lsm.run_summary(_runs(s, d)),
     "generation_discovery": lambda s, d: lsm.newest_generation(_runs(s, d)),
@@ -101,7 +119,7 @@ QUERIES = {
     "stream_cms": _stream_cms,
 }
 
-ORACLES: dict[str, str] = kv.ORACLES | lsm.ORACLES | sketches.ORACLES | text.ORACLES | admission.ORACLES
+ORACLES: dict[str, str] = kv.ORACLES | lsm.ORACLES | flush.ORACLES | sketches.ORACLES | text.ORACLES | admission.ORACLES
 ORACLES |= {
     "stream_snapshot": ORACLES["kv_snapshot"],
     "stream_token_bucket": ORACLES["token_bucket"],

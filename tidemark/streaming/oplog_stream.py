@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from typing import Any
 
@@ -67,20 +66,15 @@ def token_bucket_stream(ops: DataFrame, size: int, interval: int) -> DataFrame:
 
 
 def drain(stream: DataFrame, path: str, mode: str) -> DataFrame:
-    """Run a stream until its input is used up; the last state of what it wrote, from Parquet at ``path``."""
+    """Run a stream until its input is used up; the last state of what it wrote, from Parquet at ``path``.
+
+    Each batch writes a folder of its own number, so one that is run again replaces what it wrote.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/data")
+        batch.write.mode("overwrite").parquet(f"{path}/data" if mode == "complete" else f"{path}/data/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/data")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return spark.read.parquet(f"{path}/data").drop("batch")
