@@ -12,6 +12,7 @@ from tidemark.operators import admission, flush, kv, lsm, sketches, text
 from tidemark.operators.order import running
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources import oplog
+from tidemark.sources import sketches as saved
 from tidemark.streaming import oplog_stream
 
 SF = "/root/testdata/sf0.001"
@@ -230,6 +231,50 @@ def test_token_bucket_window_is_anchored(spark):
     assert got == [True, True, False, False, False, True, True, False, True]
 
 
+def test_scenario_leaves_59_tokens(spark, log):
+    asked = [(f"kljuc{k:02d}", "get", "", "", 1000 + k) for k in range(1, 38)]
+    more = spark.createDataFrame([*asked, ("tasa", "put_special", "x", "new", 2000)], "key string, op string, value string, category string, seq long").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_001)))
+    one = log.unionByName(more).withColumn("key", F.lit("user"))
+    config = Config()
+    cost = admission.cost_of(F.col("op"))
+    assert [r["admitted"] for r in admission.token_bucket(one, config.tokenbucket_size, config.tokenbucket_interval, cost).select("admitted").distinct().collect()] == [True]
+    assert admission.bucket_states(one, config.tokenbucket_size, config.tokenbucket_interval, cost).collect() == [("user", 59, 1_700_000_000)]
+
+
+def test_buckets_go_on_from_a_state(spark):
+    rows = [(u, op, "", t, i, "c") for i, (u, op, t) in enumerate([("a", "put", 10), ("a", "delete", 11), ("a", "put", 12), ("b", "put", 500), ("c", "delete", 5), ("c", "put", 70)])]
+    ops = spark.createDataFrame(rows, "key string, op string, value string, t long, seq long, category string").withColumn("ts", F.timestamp_seconds("t"))
+    states = spark.createDataFrame([("a", 2, 0), ("b", 0, 400), ("d", 7, 3)], "key string, tokens_left int, last_reset long")
+    cost = admission.cost_of(F.col("op"))
+    got = [r["admitted"] for r in admission.token_bucket(ops, 3, 60, cost, states).orderBy("seq").collect()]
+    # a: two left, one for the put, the delete gets one of two; b: its window is over; c: new.
+    assert got == [True, False, False, True, True, True]
+    left = {r["key"]: (r["tokens_left"], r["last_reset"]) for r in admission.bucket_states(ops, 3, 60, cost, states).collect()}
+    assert left == {"a": (0, 0), "b": (2, 500), "c": (2, 70), "d": (7, 3)}
+    outcomes = {r["seq"]: r["outcome"] for r in admission.outcomes(ops, 3, 60).collect()}
+    assert outcomes == {0: "STORED", 1: "DELETED", 2: "THROTTLED", 3: "STORED", 4: "MISSING", 5: "STORED"}
+
+
+def test_saved_sketches_and_trees(spark, tmp_path):
+    path = str(tmp_path)
+    keys = spark.createDataFrame([(f"k{i % 40}",) for i in range(100)], "key string")
+    saved.save(sketches.cms_matrix(keys, 0.1, 0.1), path, "cms", "x", epsilon=0.1, delta=0.1)
+    with pytest.raises(ValueError):
+        saved.load(spark, path, "cms", "x", epsilon=0.2, delta=0.1)
+    back = saved.load(spark, path, "cms", "x", epsilon=0.1, delta=0.1)
+    twice = saved.merge("cms", back, back)
+    assert {tuple(r) for r in twice.select("row", "bucket", "count").collect()} == {(r["row"], r["bucket"], 2 * r["count"]) for r in back.collect()}
+    with pytest.raises(ValueError):
+        saved.save(back, path, "other", "x")
+    for n in (1, 4, 5, 23):
+        leaves = spark.createDataFrame([("g", i, f"v{i}") for i in range(n)], "g string, slot long, value string")
+        nodes = lsm.merkle_nodes(leaves, ["g"])
+        padded = -(-n // 4) * 4
+        assert lsm.merkle_verify(nodes, ["g"]).collect() == [("g", 2 * padded - 1, 0)]
+    broken = nodes.withColumn("hash", F.when(F.col("slot") == 3, F.sha1(F.lit("x").cast("binary"))).otherwise(F.col("hash")))
+    assert lsm.merkle_verify(broken, ["g"]).head()["bad"] == 1
+
+
 def test_lru_against_plain(spark):
     rng = random.Random(2)
     trace = [(f"k{int(rng.expovariate(0.2))}", i * 7919) for i in range(900)]

@@ -1,4 +1,4 @@
-"""Settings of the keyed-table engine, all of them honoured."""
+"""Settings of the keyed-table engine. Operators take them as arguments or as a whole; registered queries use the ones of ``plans.registry``."""
 
 from __future__ import annotations
 

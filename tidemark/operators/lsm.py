@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.scalar import record_bytes, value_crc
 from ..sources.oplog import SQL
 from . import kv
@@ -106,37 +107,59 @@ def layered_get(ops: DataFrame, run: DataFrame, keys: DataFrame) -> DataFrame:
     return out.select("key", state.alias("status"), F.when(~F.col("f.tombstone"), F.col("f.value")).alias("value"), F.col("f.layer").alias("layer"))
 
 
-def merkle_roots(leaves: DataFrame, by: list[str]) -> DataFrame:
-    """Root of each group's tree over its values in order: by..., n_leaves, root.
+def merkle_nodes(leaves: DataFrame, by: list[str]) -> DataFrame:
+    """Every node of each group's tree over its values in order: by..., n_leaves, n, slot, hash.
 
     leaves: by..., slot (0, 1, ...), value. Leaves are sha1 of the value, padded with sha1('') to a
     multiple of 4; with n of them, node n + j joins nodes 2j and 2j + 1, the root is node 2n - 2. Each round
-    joins all pairs that are complete, halving the nodes, so a group of any size is spread over tasks.
+    joins all pairs that are complete, halving the nodes, and is written, so a group of any size is spread over tasks.
     """
-    spark = leaves.sparkSession
     sizes = leaves.groupBy(*by).agg(F.count(F.lit(1)).alias("n_leaves")).withColumn("n", (F.ceil(F.col("n_leaves") / 4) * 4).cast("bigint"))
-    largest = sizes.agg(F.max("n")).head()[0]
-    if not largest:
-        return sizes.select(*by, "n_leaves", F.lit("").alias("root")).limit(0)
-    pads = sizes.where("n > n_leaves").select(*by, "n", F.explode(F.sequence(F.col("n_leaves"), F.col("n") - 1)).alias("slot"), F.sha1(F.lit("").cast("binary")).alias("hash"))
-    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    on = match[0]
-    for m in match[1:]:
-        on = on & m
-    sized = leaves.join(sizes.select(*(F.col(c).alias(f"_{c}") for c in by), "n"), on)
-    nodes = sized.select(*by, "n", F.col("slot").cast("bigint").alias("slot"), F.sha1(F.coalesce(F.col("value").cast("binary"), F.lit("").cast("binary"))).alias("hash")).unionByName(pads)
-    for _ in range(int(largest).bit_length() + 1):
+    largest = sizes.agg(F.max("n")).head()[0] or 0
+    pads = sizes.where("n > n_leaves").select(*by, "n_leaves", "n", F.explode(F.sequence(F.col("n_leaves"), F.col("n") - 1)).alias("slot"), F.sha1(F.lit("").cast("binary")).alias("hash"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    sized = leaves.join(sizes.select(*(F.col(c).alias(f"_{c}") for c in by), "n_leaves", "n"), on)
+    first = sized.select(*by, "n_leaves", "n", F.col("slot").cast("bigint").alias("slot"), F.sha1(F.coalesce(F.col("value").cast("binary"), F.lit("").cast("binary"))).alias("hash")).unionByName(pads)
+    nodes = storage.materialize(first, "merkle")
+    found = [nodes]
+    for _ in range(int(largest).bit_length() + 1 if largest else 0):
         left = F.col("slot") % 2 == 0
-        paired = nodes.groupBy(*by, "n", (F.col("n") + F.floor(F.col("slot") / 2)).cast("bigint").alias("parent")).agg(F.max(F.when(left, F.col("hash"))).alias("l"), F.max(F.when(~left, F.col("hash"))).alias("r"))
+        paired = nodes.groupBy(*by, "n_leaves", "n", (F.col("n") + F.floor(F.col("slot") / 2)).cast("bigint").alias("parent")).agg(F.max(F.when(left, F.col("hash"))).alias("l"), F.max(F.when(~left, F.col("hash"))).alias("r"))
         both = F.col("l").isNotNull() & F.col("r").isNotNull()
-        nodes = paired.select(
+        joined = paired.select(
             *by,
+            "n_leaves",
             "n",
             F.when(both, F.col("parent")).otherwise(2 * (F.col("parent") - F.col("n")) + F.col("l").isNull().cast("bigint")).alias("slot"),
             F.when(both, F.sha1(F.concat(F.unhex("l"), F.unhex("r")))).otherwise(F.coalesce("l", "r")).alias("hash"),
+            both.alias("new"),
         )
-    roots = nodes.where("slot = 2 * n - 2").select(*by, F.col("hash").alias("root"))
-    return roots.join(sizes.select(*by, "n_leaves"), by)
+        nodes = storage.materialize(joined, "merkle")
+        found.append(nodes.where("new").drop("new"))
+        nodes = nodes.drop("new")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def merkle_roots(leaves: DataFrame, by: list[str]) -> DataFrame:
+    """Root of each group's tree: by..., n_leaves, root."""
+    return merkle_nodes(leaves, by).where("slot = 2 * n - 2").select(*by, "n_leaves", F.col("hash").alias("root"))
+
+
+def merkle_verify(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """by..., nodes, bad: the nodes of saved trees, and how many aren't the hash of the two below them or lack these."""
+    parents = nodes.where("slot >= n").select(*by, "n", "slot", "hash")
+    below = nodes.where("slot < 2 * n - 2").select(*by, "n", (F.col("n") + F.floor(F.col("slot") / 2)).cast("bigint").alias("slot"), F.struct((F.col("slot") % 2).alias("side"), "hash").alias("child"))
+    made = below.groupBy(*by, "n", "slot").agg(F.array_sort(F.collect_list("child")).alias("c")).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("slot").alias("_slot"), F.sha1(F.concat(F.unhex(F.col("c")[0]["hash"]), F.unhex(F.try_element_at("c", F.lit(2))["hash"]))).alias("made"))
+    on = F.col("slot") == F.col("_slot")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    wrong = parents.join(made, on, "left").groupBy(*by).agg(F.count_if(~F.coalesce(F.col("made") == F.col("hash"), F.lit(False))).alias("bad"), F.count(F.lit(1)).alias("inner"))
+    return wrong.select(*by, (2 * F.col("inner") + 1).alias("nodes"), "bad")
 
 
 def run_leaves(run: DataFrame) -> DataFrame:
@@ -175,4 +198,5 @@ ORACLES = {
       m AS (SELECT level, gen, n_leaves, len(h) AS n, h, 0 AS j FROM p
             UNION ALL SELECT level, gen, n_leaves, n, list_append(h, sha1(unhex(h[2 * j + 1]) || unhex(h[2 * j + 2]))), j + 1 FROM m WHERE j < n - 1)
       SELECT level, gen, n_leaves, h[2 * n - 1] AS root FROM m WHERE j = n - 1""",
+    "merkle_verify": _RUNS + " SELECT level, gen, 2 * (ceil(count(*) / 4)::BIGINT * 4) - 1 AS nodes, 0::BIGINT AS bad FROM run GROUP BY level, gen",
 }

@@ -35,7 +35,10 @@ def bloom_bits(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
 
 
 def bloom_semi_join(probe: DataFrame, keys: DataFrame, rate: float) -> DataFrame:
-    """Rows of probe whose key is among keys: filter first, exact check of what passes."""
+    """Rows of probe whose key is among keys: filter first, exact check of what passes.
+
+    A plain ``left_semi`` join with Spark's own runtime filter gives the same rows; this one works on a filter that may be saved.
+    """
     n = max(1, keys.select("key").distinct().count())
     bits = math.ceil(n * abs(math.log(rate)) / math.log(2) ** 2)
     hashes = math.ceil(bits / n * math.log(2))
@@ -125,6 +128,7 @@ _ESTIMATE = """round(CASE WHEN raw <= 2.5 * 4096 AND empty > 0 THEN 4096 * ln(40
 _SUMS = "s AS (SELECT {0} 4096 - count(*) AS empty, (0.7213 / (1 + 1.079 / 4096)) * 4096 * 4096 / (sum(2.0::DOUBLE ** -rho) + 4096 - count(*)) AS raw FROM r GROUP BY ALL)"
 
 ORACLES = {
+    "bloom_saved": f"WITH {SQL}, k AS (SELECT DISTINCT key FROM ops WHERE op = 'put') SELECT DISTINCT {_hash('r.r')} % 9586 AS bit FROM k, range(7) r(r)",
     "bloom_sizing": _RUNS + ", n AS (SELECT level, gen, count(*) AS n FROM run GROUP BY level, gen), b AS (SELECT *, ceil(n * abs(ln(0.01)) / (ln(2) * ln(2)))::BIGINT AS bits FROM n) SELECT level, gen, n, bits, ceil(bits / n * ln(2))::BIGINT AS hashes FROM b",
     "bloom_semi_join": "SELECT c_custkey::VARCHAR AS key, c_name AS name FROM customer WHERE c_custkey::VARCHAR IN (SELECT user_id::VARCHAR FROM events)",
     "cms_matrix": f"WITH {SQL}, k AS (SELECT key FROM ops WHERE op = 'put'), c AS ({_CELLS.format('k')}) SELECT row, bucket, count(*) AS count FROM c GROUP BY row, bucket",

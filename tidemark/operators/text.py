@@ -15,17 +15,22 @@ from ..functions.scalar import hamming
 
 # Words that carry no weight. Case counts.
 STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
-    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having "
-    "do does did doing a an the and but if or because as until while of at by for with about against between into through during before "
-    "after above below to from up down in out on off over under again further then once here there when where why how all any both each "
-    "few more most other some such only own same so than too very s t can will just don should now"
-).split(" ")
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their",
+    "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an",
+    "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up",
+    "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "only",
+    "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+)
+
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, word, n: words between single spaces that are no stop words; an empty word counts as one."""
     words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), " ")).alias("word"))
-    return words.where(~F.col("word").isin(STOP_WORDS)).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where(~F.col("word").isin(list(STOP_WORDS))).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def text_fingerprints(texts: list[str | None]) -> np.ndarray:

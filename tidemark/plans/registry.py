@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..config import Config
 from ..operators import admission, flush, kv, lsm, sketches, text
+from ..sources import oplog
+from ..sources import sketches as saved
 from ..sources.oplog import read_events
 from ..streaming import oplog_stream
 
 CONFIG = Config()
-BUCKET = (3, 86_400)
+LIMITED = Config(tokenbucket_size=3, tokenbucket_interval=86_400)
+BUCKET = (LIMITED.tokenbucket_size, LIMITED.tokenbucket_interval)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,33 @@ def _levels_get(spark, d):
     return flush.lookup(found.where("level = 0"), flush.cascade(found.where("level = 1"), CONFIG), _asked(spark, d))
 
 
+def _resumed(spark, d):
+    """The last month, with the buckets as the months before left them."""
+    ops = _ops(spark, d)
+    month = ops.agg(F.date_trunc("month", F.max("ts")).alias("month"))  # one row
+    cut = ops.crossJoin(F.broadcast(month))
+    cost = admission.cost_of(F.col("op"))
+    folder = storage.scratch(spark, "bucket-states")
+    oplog.write_bucket_states(admission.bucket_states(cut.where("ts < month"), *BUCKET, cost), folder)
+    states = oplog.read_bucket_states(spark, folder).withColumnRenamed("user", "key")
+    return admission.token_bucket(cut.where("ts >= month"), *BUCKET, cost, states)
+
+
+def _saved(spark, d, kind, make, **params):
+    """Sketches of two parts of the puts, saved, loaded and merged."""
+    puts, path = _puts(spark, d), storage.scratch(spark, "sketches")
+    clicks = F.col("category") == "click"
+    for name, part in (("clicks", puts.where(clicks)), ("others", puts.where(~clicks))):
+        saved.save(make(part), path, kind, name, **params)
+    return saved.merge(kind, *(saved.load(spark, path, kind, name, **params) for name in ("clicks", "others")))
+
+
+def _saved_trees(spark, d):
+    path = storage.scratch(spark, "trees")
+    saved.save(lsm.merkle_nodes(lsm.run_leaves(_runs(spark, d)), ["level", "gen"]), path, "merkle", "runs")
+    return lsm.merkle_verify(saved.load(spark, path, "merkle", "runs"), ["level", "gen"])
+
+
 def _two(spark, d):
     r = _runs(spark, d)
     return lsm.compact_two(r.where("gen = 19723"), r.where("gen = 19724")).drop("crc")
@@ -113,6 +143,14 @@ QUERIES = {
     "simhash_pairs": lambda s, d: text.near_pairs(text.fingerprints(_table(s, d, "documents"))),
     "token_bucket": lambda s, d: admission.token_bucket(_ops(s, d), *BUCKET),
     "token_bucket_totals": lambda s, d: admission.admitted_per_key(_ops(s, d), *BUCKET),
+    "token_bucket_costs": lambda s, d: admission.token_bucket(_ops(s, d), *BUCKET, admission.cost_of(F.col("op"))),
+    "token_bucket_states": lambda s, d: admission.bucket_states(_ops(s, d), *BUCKET, admission.cost_of(F.col("op"))),
+    "token_bucket_resumed": _resumed,
+    "kv_outcomes": lambda s, d: admission.outcomes(_ops(s, d), *BUCKET),
+    "cms_saved": lambda s, d: _saved(s, d, "cms", lambda p: sketches.cms_matrix(p, *_CMS), epsilon=_CMS[0], delta=_CMS[1]),
+    "hll_saved": lambda s, d: _saved(s, d, "hll", lambda p: sketches.hll_registers(p, CONFIG.hll_precision), precision=CONFIG.hll_precision),
+    "bloom_saved": lambda s, d: _saved(s, d, "bloom", lambda p: sketches.bloom_bits(p, 9586, 7), bits=9586, hashes=7),
+    "merkle_verify": _saved_trees,
     "lru_hits": lambda s, d: admission.lru_hits(_ops(s, d), CONFIG.cache_max_size),
     "stream_snapshot": _stream_snapshot,
     "stream_token_bucket": _stream_bucket,
@@ -124,4 +162,6 @@ ORACLES |= {
     "stream_snapshot": ORACLES["kv_snapshot"],
     "stream_token_bucket": ORACLES["token_bucket"],
     "stream_cms": ORACLES["cms_matrix"],
+    "cms_saved": ORACLES["cms_matrix"],
+    "hll_saved": ORACLES["hll_registers"],
 }

@@ -45,6 +45,11 @@ def read_bucket_states(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("user string, ignored string, tokens_left int, last_reset bigint").csv(path, header=False).drop("ignored")
 
 
+def write_bucket_states(states: DataFrame, path: str) -> None:
+    """Write token-bucket states (key, tokens_left, last_reset) as the lines that ``read_bucket_states`` takes."""
+    states.select("key", F.lit("").alias("ignored"), "tokens_left", "last_reset").write.mode("overwrite").csv(path, header=False)
+
+
 def write_run(run: DataFrame, path: str, partitions: int = 1) -> None:
     """Write sorted runs, foldered by level and gen, with a Bloom filter of the key in each file."""
     (
