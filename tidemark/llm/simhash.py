@@ -379,9 +379,13 @@ def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     Of the shingles that the same classes hold one is enough.
     """
     keyed = classes.select("node", F.explode("rare").alias("bucket"))
-    held = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("size > 1")
-    sizes = common.materialize(held.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "wide-buckets")
-    shared = keyed.join(sizes, "bucket").join(classes.select("node", "n", "bits"), "node")
+    # Most shingles stand in one class only. Each step is written, so that its shuffle is gone before the next one.
+    met = common.materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), "wide-met")
+    held = common.materialize(keyed.join(met, "bucket"), "wide-held")
+    common.discard(met)
+    marks = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
+    sizes = common.materialize(marks.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "wide-buckets")
+    shared = held.join(sizes, "bucket").join(classes.select("node", "n", "bits"), "node")
     few = F.when(F.col("size") <= WIDE_ROWS, 1).otherwise(F.ceil(2 * F.col("size") / WIDE_ROWS))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,6 +476,8 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5
 
     rows = common.materialize(named.mapInArrow(prints, f"key {kind}, node bigint, n bigint, bits binary, rare array<bigint>"), "wide-rows")
     classes = common.materialize(rows.groupBy("node").agg(F.min("key").alias("least"), *(F.any_value(c).alias(c) for c in ("n", "bits", "rare"))), "wide-classes")
+    names = common.materialize(rows.select("key", "node"), "wide-names")
+    common.discard(rows)
     pairs = common.materialize(similar_pairs(classes, similarity), "wide-pairs")
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,7 +498,7 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5
     roots = common.materialize(components(sure), "wide-roots").withColumnRenamed("node", "_node")
     by_root = classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     groups = by_root.groupBy("root").agg(F.min("least").alias("group"))
-    return rows.select("key", "node").join(by_root.select("node", "root").join(groups, "root").select("node", "group"), "node").select("key", "group")
+    return names.join(by_root.select("node", "root").join(groups, "root").select("node", "group"), "node").select("key", "group")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
