@@ -399,8 +399,15 @@ def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     return in_chunks(shared, "bucket", few, "node", "n", "bits").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def confirmed_links(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A forest (a, b) of the links between sets of different labels whose resemblance reaches the similarity; compares all pairs."""
+#: Members that a group of candidates is first compared with, before all that these don't link are compared with all.
+CENTRES = 8
+
+
+def confirmed_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b) of the links between sets whose resemblance reaches the similarity.
+
+    A few sets are compared with all first; what they link needs no comparison inside. All others are compared with all.
+    """
     sizes = np.array([len(x) for x in sets], np.int64)
     values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)
@@ -408,49 +415,54 @@ def confirmed_links(sets: list[np.ndarray], label: np.ndarray, similarity: float
     column, owner = column[column >= 0], owner[column >= 0]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    _, group, members = np.unique(label, return_inverse=True, return_counts=True)
-    rest = np.flatnonzero(group != members.argmax())  # the largest group needs no comparison inside
-    shared = np.zeros((len(rest), len(sets)))
-    for start in range(0, int((times > 1).sum()), COLUMNS):
-        a, b = np.searchsorted(column, [start, start + COLUMNS])
-        has = np.zeros((len(sets), COLUMNS), np.float32)
-        has[owner[a:b], column[a:b] - start] = 1
-        shared += has[rest] @ has.T
-    x, y = np.nonzero(shared >= similarity * (sizes[rest, None] + sizes[None, :] - shared))
-    x = rest[x]
+    group = np.arange(len(sets))
     keep: list[tuple[int, int]] = []
-    apart = group[x] != group[y]
-    for u, v in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
-        if group[u] != group[v]:
-            group[group == group[v]] = group[u]
-            keep.append((u, v))
+
+    def link(rows: np.ndarray) -> None:
+        shared = np.zeros((len(rows), len(sets)))
+        for start in range(0, int((times > 1).sum()), COLUMNS):
+            a, b = np.searchsorted(column, [start, start + COLUMNS])
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[owner[a:b], column[a:b] - start] = 1
+            shared += has[rows] @ has.T
+        x, y = np.nonzero(shared >= similarity * (sizes[rows, None] + sizes[None, :] - shared))
+        x = rows[x]
+        apart = group[x] != group[y]
+        for u, v in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+            if group[u] != group[v]:
+                group[group == group[v]] = group[u]
+                keep.append((u, v))
+
+    link(np.unique(np.linspace(0, len(sets) - 1, CENTRES).astype(np.int64)))
+    _, which, members = np.unique(group, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(which != members.argmax())
+    for at in range(0, len(rest), TILE):
+        link(rest[at : at + TILE])
     pairs = np.array(keep, np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
 
-def links_left(pairs: DataFrame, sure: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links at the similarity between groups of ``sure`` links that candidate ``pairs`` connect.
+def sure_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect all sets (node, shingles) at the similarity among those that candidate ``pairs`` connect.
 
-    ``pairs`` are a forest, so where some of them failed, links that the forest left out may hold. All members of what it
-    connects are compared then, but those already linked. Two members have no link left out.
+    ``pairs`` are a forest, so a link that it leaves out lies inside a part that it connects. A part's sets meet in one place, each sent
+    there once (a large part's by pairs of chunks), and all links among them count.
     """
-    held = common.materialize(components(pairs).withColumnRenamed("root", "part").join(components(sure).withColumnRenamed("root", "own"), "node", "left").select("node", "part", F.coalesce("own", "node").alias("own")), "wide-parts")
-    open_parts = held.groupBy("part").agg(F.count(F.lit(1)).alias("size"), (F.min("own") < F.max("own")).alias("open")).where("open AND size > 2").select("part", "size")
-    rows = held.join(open_parts, "part").join(sets, "node")
-    total = rows.groupBy("part").agg(F.sum(F.size("shingles")).alias("total"))
+    parts = common.materialize(components(pairs).withColumnRenamed("root", "part"), "wide-parts")
+    sized = parts.join(sets.select("node", F.size("shingles").alias("n")), "node").groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     few = F.when((F.col("size") <= WIDE_ROWS) & (F.col("total") <= WIDE_SHINGLES), 1).otherwise(F.ceil(F.greatest(2 * F.col("size") / WIDE_ROWS, 2 * F.col("total") / WIDE_SHINGLES)))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in runs(batches, 3):
-            label = found.column("own").to_numpy()
-            if (label != label[0]).any():
+            if found.num_rows > 1:
                 column = found.column("shingles").combine_chunks()
                 ends = column.offsets.to_numpy()
-                a, b = confirmed_links(np.split(column.values.to_numpy()[ends[0] : ends[-1]], ends[1:-1] - ends[0]), label, similarity)
+                a, b = confirmed_links(np.split(column.values.to_numpy()[ends[0] : ends[-1]], ends[1:-1] - ends[0]), similarity)
                 if len(a):
                     yield ordered_pairs(found.column("node").to_numpy(), a, b)
 
-    return in_chunks(rows.join(total, "part"), "part", few, "node", "own", "shingles").mapInArrow(compare, "a bigint, b bigint")
+    dealt = parts.join(sized, "part").join(sets, "node")
+    return in_chunks(dealt, "part", few, "node", "shingles").mapInArrow(compare, "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -491,10 +503,7 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least"), "node")
     texts = named.join(asked.withColumnRenamed("least", "key"), "key").dropDuplicates(["node"]).select("node", "text")
     sets = common.materialize(texts.mapInArrow(shingles, "node bigint, shingles array<bigint>"), "wide-shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    sure = common.materialize(both.withColumn("s", shared).where(F.col("s") >= similarity * (F.size("x") + F.size("y") - F.col("s"))).select("a", "b"), "wide-sure")
-    sure = sure.unionByName(common.materialize(links_left(pairs, sure, sets, similarity), "wide-left"))
+    sure = common.materialize(sure_links(pairs, sets, similarity), "wide-sure")
     roots = common.materialize(components(sure), "wide-roots").withColumnRenamed("node", "_node")
     by_root = classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     groups = by_root.groupBy("root").agg(F.min("least").alias("group"))
