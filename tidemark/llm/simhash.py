@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
 #: Words of 64 bits of a text's parity bits, and the width of a row of candidates.
 WIDE = 16
 #: Rows that one task compares at most in a bucket, and shingles that it holds when it compares whole sets.
-WIDE_ROWS, WIDE_SHINGLES = 2048, 1 << 21
+WIDE_ROWS, WIDE_SHINGLES = 2048, 1 << 22
 #: Documents of the sample that tells frequent shingles from rare ones, and how often a frequent one stands in it.
 SAMPLE, FREQUENT = 20_000, 8
 #: Columns of a block of the table of texts and shingles.
