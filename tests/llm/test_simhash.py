@@ -253,3 +253,45 @@ def test_filters_on_sets_miss_nothing(hot):
             bits = simhash.parity_bits(np.concatenate([x, y]), base)
             assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(x) + len(y) - 2 * same
             assert len(simhash.closest_links(bits, 64 * simhash.WIDE, np.array([len(x), len(y)]), 0.8)[0]) == 1
+
+
+def test_fine_bits_miss_nothing_and_tell_long_sets_apart():
+    rng = np.random.default_rng(9)
+    sets, want = [], set()
+    for n in (900, 1020, 1024, 1025, 2040, 2049, 5000, 9000, 40_000):
+        one = rng.integers(0, 2**64, n, dtype=np.uint64)
+        part = n // 10
+        both = [one, np.concatenate([one[part:], rng.integers(0, 2**64, part, dtype=np.uint64)]), one[n // 5 :], rng.integers(0, 2**64, n, dtype=np.uint64)]
+        want |= {(len(sets), len(sets) + 1), (len(sets), len(sets) + 2)}
+        sets += [np.unique(x) for x in both]
+    base = np.cumsum([0, *map(len, sets)])[:-1]
+    fine = simhash.fine_bits(np.concatenate(sets), base)
+    for row, own in zip(fine, sets, strict=True):
+        assert len(row) * 64 >= len(own) and (len(row) == simhash.WIDE or len(row) * 32 < len(own))
+        plain = simhash.parity_bits(own, np.array([0]))
+        assert (simhash.folded(row[None], simhash.WIDE) == plain).all()
+    a, b = simhash.fine_links([x.tobytes() for x in fine], np.array([len(x) for x in sets]), 0.8)
+    label = list(range(len(sets)))
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        lo, hi = sorted((label[i], label[j]))
+        label = [lo if x == hi else x for x in label]
+    assert all(label[i] == label[j] for i, j in want)
+    alone = [i for i in range(3, len(sets), 4) if len(sets[i]) > 4096]
+    assert all(label.count(label[i]) == 1 for i in alone)
+
+
+@pytest.mark.parametrize("rows", [2048, 4])
+def test_long_texts_that_share_a_passage_follow_exact_resemblance(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "WIDE_ROWS", rows)
+    rng = np.random.default_rng(31)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for g in range(8):
+        n = int(rng.integers(900, 6000))
+        words = [f"g{g}w{i}" for i in range(n)]
+        for share in (0, 0.02, 0.1, 0.105, 0.12, 0.2):
+            k = int(share * n)
+            texts.append(" ".join([*passage, *words[k:], *(f"x{rng.integers(0, 10**9)}" for _ in range(k))]))
+        texts.append(" ".join([*words[: int(0.82 * n)], *passage]))
+    texts.append(" ".join(passage))
+    assert groups_of(spark, texts) == brute_groups(texts)

@@ -242,26 +242,47 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Words of 64 bits of a text's parity bits, and the width of a row of candidates.
+#: Words of 64 bits of a text's parity bits, and of its fine ones at least: these double until they are as many as its shingles.
 WIDE = 16
 #: Rows that one task compares at most in a bucket, and shingles that it holds when it compares whole sets.
 WIDE_ROWS, WIDE_SHINGLES = 2048, 1 << 22
+#: Fine parity bits that one task holds.
+WIDE_BITS = 1 << 26
 #: Documents of the sample that tells frequent shingles from rare ones, and how often a frequent one stands in it.
 SAMPLE, FREQUENT = 20_000, 8
 #: Columns of a block of the table of texts and shingles.
 COLUMNS = 4096
 
 
-def parity_bits(hashes: np.ndarray, base: np.ndarray) -> np.ndarray:
+def parity_bits(hashes: np.ndarray, base: np.ndarray, words: int = WIDE) -> np.ndarray:
     """(text, word): bit i tells whether an odd number of the text's shingles have hashes that start with i.
 
     Two texts differ in no more bits than the shingles that one of them only has.
     """
-    bits = 64 * WIDE
+    bits = 64 * words
     owner = np.repeat(np.arange(len(base)), np.diff(base, append=len(hashes)))
     at = owner * bits + (hashes >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=len(base) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(-1, WIDE)
+    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(-1, words)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same texts' parity bits in fewer words: a bit is the parity of those whose hashes it joins."""
+    each = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").reshape(len(bits), 64 * words, -1)
+    return np.packbits(np.bitwise_xor.reduce(each, axis=2), axis=1, bitorder="little").view(np.uint64)
+
+
+def fine_bits(hashes: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
+    """Each text's parity bits, in ``WIDE`` words doubled until there are as many bits as shingles."""
+    sizes = np.diff(base, append=len(hashes))
+    level = np.ceil(np.log2(np.maximum(sizes / (64 * WIDE), 1))).astype(np.int64)
+    out: list = [None] * len(base)
+    for k in np.unique(level).tolist():
+        rows = np.flatnonzero(level == k)
+        own = np.cumsum(sizes[rows]) - sizes[rows]
+        for i, row in zip(rows.tolist(), parity_bits(hashes[np.repeat(level == k, sizes)], own, WIDE << k), strict=True):
+            out[i] = row
+    return out
 
 
 def rare_first(hashes: np.ndarray, base: np.ndarray, similarity: float, frequent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,12 +325,13 @@ def closest_links(fps: np.ndarray, radius: int, sizes: np.ndarray | None = None,
     ones = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
     order = np.argsort(ones, kind="stable")
     f, ones = fps[order], ones[order]
+    small = 64 * fps.shape[1] < 1 << 15
     found = []
     for i in range(0, len(f), TILE):
         for j in range(i, len(f), TILE):
             if ones[j] - ones[min(i + TILE, len(f)) - 1] > radius:
                 break
-            apart = np.bitwise_count(f[i : i + TILE, None, 0] ^ f[None, j : j + TILE, 0]).astype(np.int16)
+            apart = np.bitwise_count(f[i : i + TILE, None, 0] ^ f[None, j : j + TILE, 0]).astype(np.int16 if small else np.int32)
             for w in range(1, fps.shape[1]):
                 apart += np.bitwise_count(f[i : i + TILE, None, w] ^ f[None, j : j + TILE, w])
             x, y = np.nonzero(apart <= radius)
@@ -318,7 +340,7 @@ def closest_links(fps: np.ndarray, radius: int, sizes: np.ndarray | None = None,
                 p, q = sizes[order[x + i]], sizes[order[y + j]]
                 up &= (apart[x, y] * (1 + similarity) <= (1 - similarity) * (p + q) + 1e-6) & (np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-6)
             x, y = x[up], y[up]
-            found.append((apart[x, y].astype(np.uint16), order[x + i].astype(np.int32), order[y + j].astype(np.int32)))
+            found.append((apart[x, y].astype(np.uint16 if small else np.int32), order[x + i].astype(np.int32), order[y + j].astype(np.int32)))
     d, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     by = np.argsort(d, kind="stable")
     d, a, b = d[by], a[by], b[by]
@@ -399,6 +421,53 @@ def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     return in_chunks(shared, "bucket", few, "node", "n", "bits").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def fine_links(fine: list[bytes], sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect all sets whose sizes and fine parity bits the similarity allows.
+
+    Sets at the similarity have fine bits of equal or neighbouring lengths, so each length is compared with itself and with
+    the next one folded to it.
+    """
+    words = np.array([len(x) // 8 for x in fine], np.int64)
+    found = []
+    for k in np.unique(words).tolist():
+        rows, over = np.flatnonzero(words == k), np.flatnonzero((words == 2 * k) & (sizes * similarity <= 64 * k + 1e-6))
+        if len(rows) + len(over) < 2:
+            continue
+        bits = np.frombuffer(b"".join(fine[i] for i in rows), np.uint64).reshape(-1, k)
+        if len(over):
+            bits = np.concatenate([bits, folded(np.frombuffer(b"".join(fine[i] for i in over), np.uint64).reshape(-1, 2 * k), k)])
+        rows = np.concatenate([rows, over])
+        most = int((1 - similarity) / (1 + similarity) * 2 * sizes[rows].max() + 1e-6)
+        a, b = closest_links(bits, min(most, 64 * k), sizes[rows], similarity)
+        found.append((rows[a], rows[b]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *x]) for x in zip(*found, strict=True)) if found else (none, none)
+
+
+def finer_links(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect all sets at the similarity among those that candidate ``pairs`` connect, by fine parity bits.
+
+    ``WIDE`` words tell texts of many more shingles than bits not apart, so such texts make large parts. The parts that hold one
+    are compared anew, all members with each other, on bits as many as their shingles; pairs of other parts stay as they are.
+    """
+    parts = common.materialize(components(pairs).withColumnRenamed("root", "part"), "wide-rough")
+    members = parts.join(classes.select("node", "n", F.coalesce("fine", "bits").alias("fine")), "node")
+    grown = members.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("fine").cast("bigint") * 8).alias("total"), F.max("n").alias("longest"))
+    grown = common.materialize(grown.where(F.col("longest") > 64 * WIDE).drop("longest"), "wide-grown")
+    few = F.when((F.col("size") <= WIDE_ROWS) & (F.col("total") <= WIDE_BITS), 1).otherwise(F.ceil(F.greatest(2 * F.col("size") / WIDE_ROWS, 2 * F.col("total") / WIDE_BITS)))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, 3):
+            if rows.num_rows > 1:
+                a, b = fine_links(rows.column("fine").to_pylist(), rows.column("n").to_numpy(), similarity)
+                if len(a):
+                    yield ordered_pairs(rows.column("node").to_numpy(), a, b)
+
+    again = in_chunks(members.join(grown, "part"), "part", few, "node", "n", "fine").mapInArrow(compare, "a bigint, b bigint").distinct()
+    whole = parts.join(grown, "part", "left_anti").select(F.col("node").alias("a"))
+    return again.unionByName(pairs.join(whole, "a", "left_semi").select("a", "b"))
+
+
 #: Members that a group of candidates is first compared with, before all that these don't link are compared with all.
 CENTRES = 8
 
@@ -478,19 +547,22 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", width: int = 5
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in common.slices(batches, "text"):
             hashes, base, live = shingle_sets(found, width)
-            count, rare, bits = np.zeros(len(found), np.int64), [[]] * len(found), [b""] * len(found)
+            count, rare, bits, fine = np.zeros(len(found), np.int64), [[]] * len(found), [b""] * len(found), [None] * len(found)
             if live.size:
                 first, need = rare_first(hashes, base, similarity, frequent, times)
                 count[live] = np.diff(base, append=len(hashes))
-                for i, own, row in zip(live.tolist(), np.split(first.view(np.int64), np.cumsum(need)[:-1]), parity_bits(hashes, base), strict=True):
-                    rare[i], bits[i] = own, row.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_hashes(len(found), hashes, base, live).view(np.int64)), pa.array(count), pa.array(bits, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["key", "node", "n", "bits", "rare"])
-
-    rows = common.materialize(named.mapInArrow(prints, f"key {kind}, node bigint, n bigint, bits binary, rare array<bigint>"), "wide-rows")
-    classes = common.materialize(rows.groupBy("node").agg(F.min("key").alias("least"), *(F.any_value(c).alias(c) for c in ("n", "bits", "rare"))), "wide-classes")
+                for i, own, row in zip(live.tolist(), np.split(first.view(np.int64), np.cumsum(need)[:-1]), fine_bits(hashes, base), strict=True):
+                    rare[i], bits[i] = own, (folded(row[None], WIDE) if len(row) > WIDE else row).tobytes()
+                    if len(row) > WIDE:
+                        fine[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_hashes(len(found), hashes, base, live).view(np.int64)), pa.array(count), pa.array(bits, pa.binary()), pa.array(fine, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["key", "node", "n", "bits", "fine", "rare"])
+
+    rows = common.materialize(named.mapInArrow(prints, f"key {kind}, node bigint, n bigint, bits binary, fine binary, rare array<bigint>"), "wide-rows")
+    classes = common.materialize(rows.groupBy("node").agg(F.min("key").alias("least"), *(F.any_value(c).alias(c) for c in ("n", "bits", "fine", "rare"))), "wide-classes")
     names = common.materialize(rows.select("key", "node"), "wide-names")
     common.discard(rows)
-    pairs = common.materialize(similar_pairs(classes, similarity), "wide-pairs")
+    rough = common.materialize(similar_pairs(classes, similarity), "wide-pairs")
+    pairs = common.materialize(finer_links(rough, classes, similarity), "wide-finer")
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in common.slices(batches, "text"):
