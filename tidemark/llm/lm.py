@@ -12,6 +12,7 @@ the driver sees four weights a class.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .features import chain
 #: Hashes that stand for the end of a text and for what stands before its first word.
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 UNIGRAM, BIGRAM, TRIGRAM = KINDS = 0, 1, 2
+#: Kinds that are sent and added up at a time: what a round sends is off the disk before the next one.
+SENT_KINDS = ((UNIGRAM, BIGRAM), (TRIGRAM,))
 #: Text bytes of a block, and of what goes to one bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Rounds of expectation-maximisation.
@@ -41,9 +44,9 @@ LEAST = 1e-6
 
 
 class Block:
-    """The tokens of some documents: distinct n-grams, and where they stand."""
+    """The tokens of some documents: by kind, the distinct n-grams, where they stand and their training counts."""
 
-    def __init__(self, found: list[bytes], train: np.ndarray):
+    def __init__(self, found: list[bytes], train: np.ndarray, kinds: tuple[int, ...] = KINDS):
         data, starts, ends, counts = common.words_of(found)
         h = common.hash_spans(data, starts, ends)
         self.lengths = counts + 1
@@ -59,30 +62,29 @@ class Block:
         earlier = np.concatenate(([START], before[:-1]))
         earlier[first] = START
         weight = np.repeat(train.astype(np.int64), self.lengths)
-        self.keys, self.rank, self.counts = [], [], []
-        for x in (tokens, pairs, chain(earlier, pairs, 6)):
-            keys, rank = ranked(x)
-            self.keys.append(keys)
-            self.rank.append(rank)
-            self.counts.append(np.bincount(rank, weights=weight, minlength=len(keys)).astype(np.int64))
+        self.keys, self.rank, self.counts = {}, {}, {}
+        for kind in kinds:
+            x = tokens if kind == UNIGRAM else pairs if kind == BIGRAM else chain(earlier, pairs, 6)
+            self.keys[kind], self.rank[kind] = ranked(x)
+            self.counts[kind] = np.bincount(self.rank[kind], weights=weight, minlength=len(self.keys[kind])).astype(np.int64)
 
 
-def _opened(payload: bytes) -> tuple[pa.Array, np.ndarray, Block]:
+def _opened(payload: bytes, kinds: tuple[int, ...] = KINDS) -> tuple[pa.Array, np.ndarray, Block]:
     columns, found = open_block(payload)
     train = np.array(columns.column("train").to_pylist(), bool)
-    return columns.column("doc_id").combine_chunks(), train, Block(found, train)
+    return columns.column("doc_id").combine_chunks(), train, Block(found, train, kinds)
 
 
-def totals(blocks: DataFrame, bits: int) -> DataFrame:
-    """For each block, kind and bucket: the training totals of the block's n-grams (payload), written to the shared folder.
+def totals(blocks: DataFrame, bits: int, kinds: tuple[int, ...] = KINDS) -> DataFrame:
+    """For each block, one of the kinds and bucket: the training totals of the block's n-grams (payload), written to the shared folder.
 
     Rows of block -1 hold, by bucket of unigrams, the number of distinct training tokens and of all.
     """
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, payload in each_block(batches):
-            block, out = _opened(payload)[2], []
-            for kind in KINDS:
+            block, out = _opened(payload, kinds)[2], []
+            for kind in kinds:
                 keys = block.keys[kind]
                 cuts = bucket_cuts(keys, bits)
                 for bucket, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
@@ -116,11 +118,11 @@ def counted(blocks: DataFrame, sums: DataFrame) -> DataFrame:
     def close(at: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         (whole,) = (p for _, kind, _, p in held if kind == WHOLE)
         ids, train, block = _opened(whole)
-        found = [np.concatenate([stretch(p) for _, k, _, p in held if k == kind]) for kind in KINDS]
+        found = {kind: np.concatenate([stretch(p) for _, k, _, p in held if k == kind]) for kind in KINDS}
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as w:
             w.write_batch(pa.RecordBatch.from_arrays([ids], ["doc_id"]))
-        yield rows([(*at, WHOLE, 0, frame([sink.getvalue().to_pybytes(), squeeze(block.lengths), squeeze(train), *(squeeze(f[r]) for f, r in zip(found, block.rank, strict=True))]))])
+        yield rows([(*at, WHOLE, 0, frame([sink.getvalue().to_pybytes(), squeeze(block.lengths), squeeze(train), *(squeeze(found[kind][block.rank[kind]]) for kind in KINDS)]))])
 
     n = common.partitions(blocks.sparkSession)
     both = blocks.unionByName(sums.where("block >= 0"))
@@ -231,7 +233,7 @@ def score_texts(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFram
     texts = size["texts"]
     bits = bucket_bits(size["bytes"] or 0, common.partitions(spark), BUCKET_BYTES)
     blocks = cut_blocks(d, BLOCK_BYTES, "lm-blocks")
-    sums = totals(blocks, bits)
+    sums = reduce(DataFrame.unionByName, [totals(blocks, bits, kinds) for kinds in SENT_KINDS])
     v = n = 0
     for r in sums.where("block = -1").select("payload").toLocalIterator():  # one row per bucket
         a, b = stretch(bytes(r["payload"])).tolist()
