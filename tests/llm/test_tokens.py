@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from tidemark.llm import packing, wavelet
+from tidemark.llm import packing, tokens, wavelet
 from tidemark.llm.tokens import Encoder, default_path
 
 HARD = ["dogs' x", "éa… b!", "x_ y_- (z) a’s", "9.9, a9!", "", " ", "a", "  a  b ", "a\n b", "a\n\nb  c", "don't stop's", " x", "x ", "　a", "a\xa0 b", "a\x85 b", "tab\tx \t y", "x<|endoftext|> y", "é ü  z", "日本 語", "1 2,3 \r\n", "long " * 5000]
@@ -29,6 +29,41 @@ def test_encoder_equals_library(plain):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(x) for x in cases[i : i + 100]]
 
 
+def test_encoder_sends_a_word_to_the_library_once_whatever_surrounds_it():
+    words = [f"w{chr(97 + i)}{chr(97 + k)}" for i in range(20) for k in range(20)]
+    texts = [f"{a}.\n{b}" + "$" * (i % 7) for i, a in enumerate(words) for b in words[:50]]
+    enc, sent = Encoder(), []
+    library, enc.tokenizer = enc.tokenizer, type("Counting", (), {"encode_batch_fast": lambda _, some, **k: sent.extend(some) or library.encode_batch_fast(some, **k)})()
+    got = enc.encode(texts)
+    assert sum(map(len, sent)) < 10 * len(words)
+    assert [x.tolist() for x in map(lambda b: np.frombuffer(b, "<u4"), got[::97])] == [library.encode(x, add_special_tokens=False).ids for x in texts[::97]]
+
+
+def test_encoder_among_all_kinds_of_characters(plain):
+    rng = random.Random(4)
+    odd = [chr(c) for c in [*range(0x180), 0x301, 0x3B1, 0x416, 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0x3042, 0x4E00, 0xFEFF, 0x1F600]]
+    cases = [x for c in odd for x in (f"a{c} b", f"a {c}b", f"a\n{c}1", f"{c}\nb", f"'{c}a.{c}9", f"{c}  {c}")]
+    cases += ["".join(rng.choices([*odd, *" \n'.a9s" * 40], k=rng.randrange(60))) for _ in range(3000)]
+    got = Encoder(most=500).encode(cases)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(x) for x in cases]
+
+
+def test_encoder_cuts_long_texts(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 100)
+    cases = ["".join(random.Random(i).choices(["word", " ", " other", "\n", ".", "  ", "é"], k=300)) for i in range(50)] + ["x" * 500, "a b\0 " * 200, "a <|endoftext|>b " * 100]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder().encode(cases)] == [plain(x) for x in cases]
+
+
+def test_encoder_of_another_build_sends_texts_whole(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(default_path())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+    other.save(str(tmp_path / "t.json"))
+    cases = ["a b", "x.\ny z", "", "dog's"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(str(tmp_path / "t.json")).encode(cases)] == [other.encode(x, add_special_tokens=False).ids for x in cases]
+
+
 def test_piece_lengths():
     assert packing.piece_lengths(2 * 1024 + 5) == [1024, 1024, 4, 1]
     assert packing.piece_lengths(0) == [] and packing.piece_lengths(1024) == [1024]
